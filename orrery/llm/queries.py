@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, prefix_tree
 
 QUERIES = {
+    "op8_ngram_jaccard": prefix_tree.op8_ngram_jaccard,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLES = {
+    "op8_ngram_jaccard": prefix_tree.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
