@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, prefix_tree
+from . import bpe, hyperlang, mixing, prefix_tree, secrets
 
 QUERIES = {
+    "op1_language_id": hyperlang.op1_language_id,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_ngram_jaccard": prefix_tree.op8_ngram_jaccard,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
