@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, hyperlang, mixing, prefix_tree, secrets
+from . import bpe, hyperlang, mixing, perplexity, prefix_tree, secrets, toxicity
 
 QUERIES = {
     "op1_language_id": hyperlang.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_quality_perplexity": perplexity.op4_quality_perplexity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_ngram_jaccard": prefix_tree.op8_ngram_jaccard,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
