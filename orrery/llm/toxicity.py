@@ -166,77 +166,6 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, mos
     return fit([r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows], dtype=float), words)
 
 
-def score(self, text: str | None) -> float:
-        weights = self.weights
-        z = self.bias + sum(weights[w] for w in sorted(words_of(text) & weights.keys()))
-        return float(1.0 / (1.0 + np.exp(-z))) if z > -700 else 0.0
-
-
-def fit(texts: list[set[str]], labels: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS, most_words: int = MOST_WORDS, least_texts: int = LEAST_TEXTS) -> Classifier:
-    """Word sets and 0/1 labels -> the classifier, by full Newton-free gradient steps (Adam), in a fixed order."""
-    n, positive = len(texts), float(labels.sum())
-    rate = (positive + 1) / (n + 2)
-    if positive in (0, n):
-        return Classifier(float(np.log(rate / (1 - rate))), {})
-    seen: dict[str, list[int]] = {}
-    for i, ws in enumerate(texts):
-        for w in ws:
-            seen.setdefault(w, []).append(i)
-    ranked = []
-    for w, at in seen.items():
-        if len(at) >= least_texts or w in _KIND:
-            k = float(labels[at].sum())
-            expected = len(at) * positive / n
-            ranked.append((-((k - expected) ** 2) / (expected * (1 - positive / n) + 1e-9), w))
-    chosen = [w for sure, w in sorted(ranked)[:most_words] if sure <= -SURE]
-    chosen += [w for w in _KIND if w not in set(chosen)]
-    place = {w: j for j, w in enumerate(chosen)}
-    rows = np.concatenate([np.empty(0, int), *(np.full(len(seen[w]), j) for w, j in place.items() if w in seen)])
-    cols = np.concatenate([np.empty(0, int), *(np.array(seen[w]) for w in place if w in seen)])
-    heavy = np.where(labels > 0, ((n - positive) / positive) ** BALANCE, 1.0)
-    order = np.argsort(cols, kind="stable")
-    word, text = rows[order], cols[order]
-    swaps = [(place[a], place[b]) for ws in texts for a, b in _swaps(ws)]
-    a, b = (np.array([s[k] for s in swaps], dtype=int) for k in (0, 1))
-    w, bias = np.zeros(len(chosen)), float(np.log(rate / (1 - rate)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        z = bias + np.bincount(text, weights=w[word], minlength=n)
-        gap = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels
-        gap = gap * heavy
-        g = np.bincount(word, weights=gap[text], minlength=len(w)) + ridge * w
-        if len(a):
-            change = 2.0 * fairness * (w[a] - w[b])
-            np.add.at(g, a, change)
-            np.add.at(g, b, -change)
-        gb = gap.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate_now = 0.1 / (1 + step / 100)
-        w = w - rate_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        bias -= rate_now * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    return Classifier(float(bias), {x: float(w[j]) for x, j in place.items() if abs(w[j]) > 1e-6})
-
-
-def _sets(batches):
-    for batch in batches:
-        found = [sorted(words_of(t)) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
-
-
-def train(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, most_rows: int = MOST_ROWS) -> Classifier:
-    """From the labelled documents outside the held-out fold; the sample of ids is bounded, so it is broadcast."""
-    marked = only(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_part("doc_id", folds) != fold))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = marked.count()
-    share = 1.0 if n <= most_rows else most_rows / n
-    picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).withColumnRenamed("doc_id", "l_id")
-    texts = only(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text")
-    got = texts.mapInArrow(_sets, "doc_id long, toxic int, words array<string>").toArrow().sort_by("doc_id")
-    sets = [set(x) for x in got.column("words").to_pylist()]
-    return fit(sets, np.array(got.column("toxic").to_pylist(), dtype=float)) if sets else Classifier(0.0, {})
-
-
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     given = docs.sparkSession.sparkContext.broadcast(model)
