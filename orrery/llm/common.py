@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.staging import scratch_path, staged  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,33 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
+def released() -> None:
+    """Give memory that a finished task has freed back to the system, as workers live on."""
+    import ctypes
 
-    Only where the session names none (tests, a single machine) a folder of
-    this machine is set, once per session.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("orrery.scratch", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="orrery-scratch-")
-        spark.conf.set("orrery.scratch", named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path for one written table."""
-    return f"{scratch_root(spark)}/orrery/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage is cut and lost executors cost nothing done."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def crc_part(column: str, modulus: int):
