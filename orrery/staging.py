@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +36,26 @@ def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete what this application has staged; frames read from it are void then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/orrery/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for a context, so that no worker needs it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_orrery_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="orrery-"), "orrery.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                out.write(file, os.path.relpath(file, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._orrery_shipped = True
