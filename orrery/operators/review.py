@@ -166,6 +166,7 @@ def learning_rows(scores: DataFrame, labels: DataFrame, key: str = "candidate_id
     last = last_rows(labels, key, order)
     have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in last.columns else F.lit("")
     marked = last.select(F.col(key).alias("__k"), learning_label(have("expert_label")).alias("__label"), have("false_positive_reason").alias("false_positive_reason"), have("reviewer_id").alias("reviewer_id"), have("label_source").alias("__source"), have("expert_confidence").alias("label_confidence"))
+    scores = scores.drop("false_positive_reason", "reviewer_id", "label_confidence", "expert_label", "expert_confidence", "reviewer_notes")
     out = scores.join(marked, scores[key] == F.col("__k"), "left").drop("__k")
     raw = F.coalesce("__label", F.lit(""))
     known = F.when(raw == "", "unlabeled").when(raw.isin(*LABELS), raw).otherwise(F.raise_error(F.concat(F.lit("unknown label "), raw)).cast("string"))
