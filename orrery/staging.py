@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,13 +37,30 @@ def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._orrery_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete a staged table, or one partition folder of it, that no frame will read again."""
+    _delete(df.sparkSession, f"{df._orrery_path}/{part}" if part else df._orrery_path)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once their frames are garbage on the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete what this application has staged; frames read from it are void then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/orrery/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/orrery/{spark.sparkContext.applicationId}")
 
 
 def ship(spark: SparkSession) -> None:
