@@ -32,7 +32,7 @@ from .common import crc_part, only, staged
 
 MOST_ROWS, MOST_WORDS, LEAST_TEXTS = 12_000, 2_000, 3
 #: Weights of the squared weights and of the counterfactual penalty.
-RIDGE, FAIRNESS, STEPS = 0.5, 20.0, 300
+RIDGE, FAIRNESS, STEPS = 0.5, 200.0, 300
 #: Least chi-square of a word (one degree of freedom); weight of toxic texts in the loss (power of the odds).
 SURE, BALANCE = 15.0, 0.7
 # Identity terms by kind; a swap stays within its kind.
@@ -50,11 +50,11 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct words of a whole text, and the first three, four and five letters of longer ones (with a mark)."""
+    """Distinct words of a whole text, and the first three, four and five letters of longer ones (with a mark), but of identity terms."""
     if not text:
         return set()
     ws = set(WORD.findall(text.lower()))
-    return ws.union(*({w[:k] + "-" for w in ws if len(w) > k} for k in (3, 4, 5)))
+    return ws.union(*({w[:k] + "-" for w in ws if len(w) > k and w not in _KIND} for k in (3, 4, 5)))
 
 
 def _swaps(present: set[str]) -> list[tuple[str, str]]:
