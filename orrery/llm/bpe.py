@@ -10,7 +10,8 @@ vocabulary and aggregates their bytes in position order.
 
 Memory is bounded: texts are cut where the pattern must cut anyway, so a long
 text is handled slice by slice; pieces wait for the query in groups of
-`GROUP`; the pieces known to a worker are forgotten beyond `KNOWN`.
+`GROUP`; the pieces known to a worker are forgotten beyond `KNOWN` and when its
+task ends.
 
 Cases: null text is the empty text (no ids; digests of the empty string);
 blank texts have ids of white space; strings that look like special tokens are
@@ -24,15 +25,16 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import only, tokenizer_path
+from .common import only, released, tokenizer_path
 
-GROUP, KNOWN, SLICE = 100_000, 400_000, 1 << 20
+GROUP, KNOWN, SLICE = 50_000, 200_000, 1 << 20
 #: Characters of texts taken together; tokens decoded together.
-TOGETHER = 4_000_000
+TOGETHER = 1_500_000
 
 ENCODE = """
 WITH RECURSIVE step(w, toks, open) AS (
@@ -89,7 +91,7 @@ class Codec:
 
         self.pieces = regex.compile(pattern).findall
         self.byte = [ranks[bytes([i])] for i in range(256)]
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         given = pa.table({"l": l, "r": r, "rank": rank})
@@ -199,11 +201,11 @@ def _shared(docs: DataFrame, path: str | None, pattern: str | None):
     return docs.sparkSession.sparkContext.broadcast((ranks, pattern or public_tokenizers.PATTERN))
 
 
-def _portions(texts: list[str | None]):
-    """Row ranges of bounded size."""
+def _portions(texts: pa.Array):
+    """Row ranges of bounded size (in bytes, so with fewer characters)."""
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
         if size >= TOGETHER:
             yield lo, i + 1
             lo, size = i + 1, 0
@@ -225,9 +227,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches):
         codec = _codec(given)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for lo, hi in _portions(texts):
-                ids = codec.encode(texts[lo:hi])
+            for lo, hi in _portions(batch.column(at)):
+                ids = codec.encode(batch.column(at).slice(lo, hi - lo).to_pylist())
                 cols = [batch.column(i).slice(lo, hi - lo) for i in kept]
                 if with_ids:
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -235,6 +236,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 if with_digests:
                     cols += [pa.array(list(map(len, ids)), pa.int64()), *(pa.array(x, pa.string()) for x in codec.digests(ids))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        codec.forget()
+        released()
 
     return docs.mapInArrow(run, T.StructType(fields))
 

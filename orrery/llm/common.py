@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.staging import scratch_path, staged  # noqa: F401
+from orrery.staging import discard, reclaim, scratch_path, staged  # noqa: F401
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def values(column, step: int = 512):
+    """The values of an Arrow column, a few rows at a time as Python objects."""
+    for lo in range(0, len(column), step):
+        yield from column.slice(lo, step).to_pylist()
+
+
 def released() -> None:
     """Give memory that a finished task has freed back to the system, as workers live on."""
     import ctypes

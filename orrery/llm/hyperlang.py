@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_part, only
+from .common import crc_part, only, released
 
 DIMS = 1024
 MOST_PER_LANGUAGE = 4000
@@ -150,10 +150,9 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
     def run(batches):
         names, prototypes = model.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             found, scores = [], []
-            for lo in range(0, len(texts), ROWS):
-                part = texts[lo : lo + ROWS]
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.column(at).slice(lo, ROWS).to_pylist()
                 known = [has_letter(t) for t in part]
                 if names:
                     cosines = bundles(part) @ prototypes.T
@@ -164,6 +163,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
                     found += [UNKNOWN] * len(part)
                     scores += [0.0] * len(part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        released()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
