@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from orrery.plans import registry
@@ -11,9 +13,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def text(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "null"
-    return repr(float(v)) if isinstance(v, float) else str(v)
+    return repr(float(v)) if isinstance(v, int | float | np.integer | np.floating) and not isinstance(v, bool | np.bool_) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
