@@ -42,7 +42,7 @@ class Run:
     known_sites: DataFrame | None
 
 
-def read_vectors(spark: SparkSession, manifest: Manifest) -> dict[str, DataFrame | None]:
+def read_vectors(spark: SparkSession, manifest: Manifest, reproject: bool = False) -> dict[str, DataFrame | None]:
     """The manifest's vector layers; optional ones that are absent or empty are None."""
     out: dict[str, DataFrame | None] = {}
     for name, spec in manifest.vectors.items():
@@ -53,7 +53,7 @@ def read_vectors(spark: SparkSession, manifest: Manifest) -> dict[str, DataFrame
             out[name] = None
             continue
         try:
-            out[name] = vec.load_vectors(spark, spec.path, name, spec.id_field, manifest.crs)
+            out[name] = vec.load_vectors(spark, spec.path, name, spec.id_field, manifest.crs, reproject=reproject)
         except vec.VectorError as e:
             if spec.required or "contains no features" not in str(e):
                 raise
@@ -158,7 +158,7 @@ def run(spark: SparkSession, config: RunConfig, manifest: Manifest) -> Run:
     reference = next((s for s in manifest.layers if abs(s.resolution_m - manifest.resolution_m) < 1e-9), manifest.layers[0])
     grid = grid_of[reference.layer_id]
     shape_of = {i: (g["height"], g["width"]) for i, g in grid_of.items()}
-    vectors = read_vectors(spark, manifest)
+    vectors = read_vectors(spark, manifest, bool(config.prepared_data and config.prepared_data.allow_reprojection))
     fields = vectors.get("fields")
     if fields is None:
         raise vec.VectorError("the fields layer is missing")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import polygons
+from orrery.functions.projection import to_utm
 from orrery.operators.spatial import with_bounds
 
 
@@ -128,21 +129,55 @@ def geometry_issues(rows: DataFrame) -> DataFrame:
     return rows.select("ordinal", reason("geometry").alias("reason")).where("reason is not null")
 
 
-def load_vectors(spark: SparkSession, path: str, name: str, id_field: str | None = None, crs: str | None = None, check: bool = True) -> DataFrame:
-    """A vector layer with ordinal, properties, geometry, stable_id and bounds; the CRS must be in metres and agree.
+def repaired(rows: DataFrame) -> DataFrame:
+    """Rows whose self-crossing polygons are replaced by the region they enclose oddly often, with repaired telling which."""
 
-    Empty layers and polygons that can't be used are errors.
+    @F.pandas_udf("struct<geometry:string,repaired:boolean>")
+    def mended(geometries: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in geometries:
+            g = json.loads(t)
+            bad = g["kind"] == "polygon" and polygons.self_crossing(g)
+            out.append((json.dumps(polygons.repaired(g)) if bad else t, bad))
+        return pd.DataFrame(out, columns=["geometry", "repaired"])
+
+    return rows.withColumn("__r", mended("geometry")).withColumns({"geometry": F.col("__r.geometry"), "repaired": F.col("__r.repaired")}).drop("__r")
+
+
+def reprojected(rows: DataFrame, target: str) -> DataFrame:
+    """Rows in longitude and latitude -> a UTM zone of WGS 84."""
+    epsg = int(target.split(":")[1])
+
+    @F.pandas_udf("string")
+    def moved(geometries: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(polygons.mapped(json.loads(t), lambda p: to_utm(p, epsg))) for t in geometries])
+
+    return rows.withColumn("geometry", moved("geometry"))
+
+
+def load_vectors(spark: SparkSession, path: str, name: str, id_field: str | None = None, crs: str | None = None, repair: bool = True, reproject: bool = False) -> DataFrame:
+    """A vector layer with ordinal, properties, geometry, repaired, stable_id and bounds.
+
+    The CRS must be in metres and agree with crs; with reproject, longitudes and
+    latitudes are taken to crs if that is a UTM zone. Empty layers are errors,
+    and polygons without area; self-crossing ones too unless repair is on.
     """
     rows, declared = read_features(spark, path)
     if rows.limit(1).count() == 0:
         raise VectorError(f"{name} contains no features")
-    code = require_metric(declared or crs, name)
-    if crs is not None:
-        same_metric_crs(code, crs, name)
-    if check:
-        bad = geometry_issues(rows).limit(5).collect()
-        if bad:
-            raise VectorError(f"{name}: " + "; ".join(f"feature {r['ordinal'] + 1}: {r['reason']}" for r in bad))
+    source = declared or crs
+    if reproject and source is not None and is_geographic(crs_code(source)):
+        if crs is None or not re.match(r"EPSG:32[67]\d\d$", require_metric(crs, name)):
+            raise VectorError(f"{name}: the target of a reprojection is a UTM zone")
+        rows = reprojected(rows, crs_code(crs))
+    else:
+        code = require_metric(source, name)
+        if crs is not None:
+            same_metric_crs(code, crs, name)
+    rows = repaired(rows) if repair else rows.withColumn("repaired", F.lit(False))
+    bad = geometry_issues(rows).where("reason = 'no area'" if repair else "true").limit(5).collect()
+    if bad:
+        raise VectorError(f"{name}: " + "; ".join(f"feature {r['ordinal'] + 1}: {r['reason']}" for r in bad))
     return with_bounds(with_stable_ids(rows, id_field))
 
 
