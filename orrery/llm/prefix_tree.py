@@ -1,8 +1,10 @@
 """Operator 8: n-gram Jaccard join with prefix trees.
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes
-in one global order: shingles that many documents share come last, the rest
-by hash. Two sets with a Jaccard similarity of 0.8 or more share a shingle
+in one global order: by the level of a frequency sketch (a counter for each of
+2 ** 24 ranges of the lower half of the hashes, filled by all documents; its level tells how far it stands
+out), then by hash. So shingles that many documents share come last. The
+sketch only sets the order: any order gives the same links. Two sets with a Jaccard similarity of 0.8 or more share a shingle
 among the first n - ceil(0.8 n) + 1 of both, so candidates meet at such
 shingles. Equal sets are one class before anything is joined.
 
@@ -12,7 +14,8 @@ shingles in front than its edited copies). The tests run in chunks: the
 ordered sets of a chunk form a prefix tree, which is traversed with the
 centre's set. Overlaps of common beginnings are counted once, and subtrees
 are pruned where overlap so far plus the shorter remainder can't reach the
-required overlap. Members in one component need no further test among
+required overlap. A 256-bit signature of parities bounds a pair's overlap
+beforehand. Members in one component need no further test among
 themselves. Shingles whose members fall into several components get further
 centres while the pairs left are many, then all the pairs left (of different
 components, past the length and position filters) are tested. So no link
@@ -33,31 +36,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, staged
+from .common import discard, only, reclaim, released, staged, values
 from .components import connected_components
 from .shingles import fingerprint, shingle_set
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-#: Shingles that a task holds before it counts them; most hot shingles broadcast (8 bytes each).
-BLOCK, MOST_HOT = 4_000_000, 500_000
-#: Members tested with a centre in one tree; centres for each shingle before all pairs left are tested.
-CHUNK, MOST_STARS = 64, 6
-#: Bits of the map of wanted documents (2 MB, whatever the input).
-WANTED_BITS = 1 << 24
+#: Shingles that a task holds before it counts them.
+BLOCK = 2_000_000
+#: Counters of the frequency sketch, in slices of 2 ** SLICE_BITS: one byte each is broadcast, whatever the input.
+#: They cover the lower half of the hashes, which come first in the order: only the others' beginnings reach further.
+SKETCH_BITS, SLICE_BITS = 24, 18
+#: Members tested with a centre in one tree; members of a shingle from which on it gets centres, and how many in turn.
+CHUNK, SMALL, MOST_STARS = 64, 32, 4
+#: Bits of the maps of wanted documents (2 MB) and shared shingles (16 MB), whatever the input. They only spare
+#: the shuffle rows that can't match; the joins behind them are exact.
+WANTED_BITS, SHARED_BITS = 1 << 24, 1 << 27
 
 
 def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
 
-def ordered(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """A set in global order: by hash, then the hot ones in the order of `hot_rank` (their hash)."""
-    if not len(hot):
+_HALF = np.uint64(1 << 63)
+
+
+def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A sorted set in global order: by level, then by hash."""
+    half = int(np.searchsorted(tokens, _HALF))
+    level = levels[tokens[:half] >> np.uint64(63 - SKETCH_BITS)]
+    if not level.any():
         return tokens
-    at = np.searchsorted(hot, tokens)
-    is_hot = hot[np.minimum(at, len(hot) - 1)] == tokens
-    return np.concatenate([tokens[~is_hot], tokens[is_hot]])
+    late = level > 0
+    order = np.argsort(level[late], kind="stable")
+    return np.concatenate([tokens[:half][~late], tokens[half:], tokens[:half][late][order]])
 
 
 class Chunk:
@@ -104,45 +116,93 @@ class Chunk:
         return found
 
 
+#: Words of a set's short signature: 256 bits, each the parity of its shingles with one leading byte; bits of the long one.
+SIGNS, WIDE_BITS = ("s0", "s1", "s2", "s3"), 10
+_DESCRIBED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("b", pa.int64()), ("bits", pa.binary()), *((c, pa.int64()) for c in SIGNS), ("wide", pa.binary())])
+
+
+def signature(tokens: np.ndarray, bits: int = 8) -> np.ndarray:
+    """Bytes of parities. Two sets overlap in (n + n' - differing bits) / 2 shingles at most."""
+    parity = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(parity.astype(np.uint8))
+
+
 def _describe(batches):
-    """kind 0: id, set size and set id of each document; kind 1: shingles found in three or more sets of a block."""
+    """kind 0: id, set size and set id of each document; kind 1: for each slice of the sketch, the shingles of a block of sets.
+
+    A slice is one byte a counter, or where it has few shingles their places.
+    """
     seen: set[int] = set()
     held, count = [], 0
 
-    def rows(kind, a, n, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "n", "b"])
+    def rows(kind, a, n, b, bits, signs=None, wide=None):
+        signs = np.zeros((len(a), 4), dtype=np.int64) if signs is None else signs
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(signs[:, i]) for i in range(4)), pa.array(wide or [None] * len(a), pa.binary())], schema=_DESCRIBED)
 
     def counted():
-        tokens, times = np.unique(np.concatenate(held), return_counts=True)
-        many = times >= 3
-        return rows(1, tokens[many].view(np.int64), times[many], np.zeros(int(many.sum()), dtype=np.int64))
+        spots = np.sort(np.concatenate(held) >> np.uint64(63 - SKETCH_BITS)).astype(np.uint32)
+        slices = np.searchsorted(spots, np.arange((1 << SKETCH_BITS - SLICE_BITS) + 1, dtype=np.uint64) << np.uint64(SLICE_BITS))
+        for k in range(len(slices) - 1):
+            part = spots[slices[k] : slices[k + 1]] & np.uint32((1 << SLICE_BITS) - 1)
+            if len(part) * 4 >= 1 << SLICE_BITS:
+                yield rows(1, [k], [1], [0], [np.minimum(np.bincount(part, minlength=1 << SLICE_BITS), 255).astype(np.uint8).tobytes()])
+            elif len(part):
+                yield rows(1, [k], [4], [0], [part.tobytes()])
 
     for batch in batches:
-        ids, sizes, prints = batch.column(0).to_pylist(), [], []
-        for text in batch.column(1).to_pylist():
+        ids, sizes, prints, signs, wide = batch.column(0).to_pylist(), [], [], [], []
+        for text in values(batch.column(1)):
             tokens = shingle_set(text)
             fp = fingerprint(tokens)
             sizes.append(len(tokens))
             prints.append(fp)
+            signs.append(signature(tokens).view(np.int64))
+            wide.append(signature(tokens, WIDE_BITS).tobytes())
             if len(tokens) and fp not in seen:
                 seen.add(fp)
-                held.append(tokens)
-                count += len(tokens)
+                held.append(tokens[: int(np.searchsorted(tokens, _HALF))])
+                count += len(held[-1])
             if count >= BLOCK:
-                yield counted()
+                yield from counted()
                 held, count = [], 0
                 seen.clear()
-        yield rows(0, ids, sizes, prints)
+        yield rows(0, ids, sizes, prints, [None] * len(ids), np.array(signs, dtype=np.int64).reshape(-1, 4), wide)
     if held:
-        yield counted()
+        yield from counted()
+    held.clear()
+    released()
+
 
+def _leveled(mean: float):
+    """Rows of slices, sorted by slice -> the level of each counter: 0, or 1 and more by how far it stands out."""
 
-def _postings(hot_of):
     def run(batches):
-        hot, seen = hot_of.value, set()
+        at, total = None, None
+
+        def done():
+            excess = (total - mean) / (4.0 * max(mean, 0.5) ** 0.5)
+            level = np.where(excess > 1, 1 + 4 * np.log2(np.maximum(excess, 1)), 0)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(level, 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "levels"])
+
+        for batch in batches:
+            for k, width, bits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield done()
+                    at, total = k, np.zeros(1 << SLICE_BITS)
+                total += np.frombuffer(bits, np.uint8) if width == 1 else np.bincount(np.frombuffer(bits, np.uint32), minlength=1 << SLICE_BITS)
+        if at is not None:
+            yield done()
+
+    return run
+
+
+def _postings(levels_of):
+    def run(batches):
+        levels, seen = levels_of.value, set()
         for batch in batches:
             tokens, places, sizes, prints = [], [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 found = shingle_set(text)
                 if not len(found) or (fp := fingerprint(found)) in seen:
                     continue
@@ -150,7 +210,7 @@ def _postings(hot_of):
                     seen.clear()
                 seen.add(fp)
                 p = prefix_length(len(found))
-                tokens.append(ordered(found, hot)[:p])
+                tokens.append(ordered(found, levels)[:p])
                 places.append(np.arange(p, dtype=np.int32))
                 sizes.append(np.full(p, len(found), dtype=np.int32))
                 prints.append(np.full(p, fp, dtype=np.int64))
@@ -160,30 +220,46 @@ def _postings(hot_of):
     return run
 
 
-def _wanted(bits_of):
+def _spot(column: str, size: int):
+    return F.pmod(F.xxhash64(column), F.lit(size)) + 1
+
+
+def _bitmap(rows: DataFrame, column: str, size: int):
+    """A broadcast map with the bit of every value set: size / 8 bytes, put together by Spark in pieces of 4 KB."""
+    h = rows.select(_spot(column, size).alias("h"))
+    pieces = h.groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for r in pieces.collect():
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _maybe_in(rows: DataFrame, column: str, bits_of, size: int) -> DataFrame:
+    """Rows whose value may be in the map."""
+    last = len(rows.columns)
+
     def run(batches):
         bits = bits_of.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(last).to_numpy()
             keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+            yield batch.filter(pa.array(keep.astype(bool))).select(list(range(last)))
 
-    return run
+    return rows.select("*", (_spot(column, size) - 1).alias("__spot")).mapInArrow(run, rows.schema)
 
 
-def _tested(hot_of):
+def _tested(levels_of):
     """Rows (centre, part, is_member, fp, text), sorted by the first three -> links."""
 
     def run(batches):
-        hot, at, probe, members, out = hot_of.value, None, None, [], []
+        levels, at, probe, members, out = levels_of.value, None, None, [], []
 
         def close():
             if probe is not None and members:
                 out.extend((at[0], key) for key in Chunk(members).linked(probe))
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for centre, part, is_member, fp, text in zip(*cols, strict=True):
+            for centre, part, is_member, fp, text in zip(*(values(batch.column(i)) for i in range(5)), strict=True):
                 if (centre, part) != at:
                     close()
                     at, probe, members = (centre, part), None, []
@@ -191,9 +267,9 @@ def _tested(hot_of):
                 if fingerprint(tokens) != fp:  # another row with the same doc_id
                     continue
                 if not is_member:
-                    probe = ordered(tokens, hot)
+                    probe = ordered(tokens, levels)
                 elif not members or members[-1][0] != fp:
-                    members.append((fp, ordered(tokens, hot)))
+                    members.append((fp, ordered(tokens, levels)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
                 out.clear()
@@ -204,80 +280,146 @@ def _tested(hot_of):
     return run
 
 
-def _fits(n, pos, other_n, other_pos):
-    """Length and position filters for two sets that share a shingle."""
-    need = F.ceil(F.lit(NUM) * (n + other_n) / F.lit(NUM + DEN))
-    return (F.least(n, other_n) * DEN >= F.greatest(n, other_n) * NUM) & (F.least(n - pos, other_n - other_pos) >= need)
+def _fits(a: str, b: str):
+    """Length, position and signature filters for two sets that share a shingle at pos."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return _may_link(a, b) & (F.least(n - F.col(f"{a}pos"), m - F.col(f"{b}pos")) >= _need(n, m))
+
+
+def _need(n, m):
+    return F.ceil(F.lit(NUM) * (n + m) / F.lit(NUM + DEN))
+
+
+def _may_link(a: str, b: str):
+    """Length and signature filters; they hold for a pair, whichever shingle it meets at."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SIGNS[1:]), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & ((n + m - apart) / 2 >= _need(n, m))
+
+
+def _marked(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of shingles with their component so far."""
+    return shared.join(comps, F.col("fp") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "fp")).drop("id")
+
+
+def _open(shared: DataFrame, comps: DataFrame, centred: bool = True) -> DataFrame:
+    """Members of shingles that fall into several components, with their component, the first member and the centre c.
+
+    The first centre is the member that has the shingle earliest. Once that
+    one's component holds some members, the earliest of the others is next.
+    """
+    marked = _marked(shared, comps)
+    item = F.struct("pos", "n", "fp", "comp", *SIGNS)
+    several = marked.groupBy("token").agg(F.min(item).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    opened = staged(marked.join(several.select("token", "first"), "token"), "open")
+    if not centred:
+        return opened
+    other = F.col("comp") != F.col("first.comp")
+    ahead = opened.groupBy("token").agg(F.count_if(~other).alias("grown"), F.min(F.when(other, item)).alias("second"))
+    return opened.join(ahead, "token").withColumn("c", F.when(F.col("grown") > 1, F.col("second")).otherwise(F.col("first"))).drop("grown", "second")
+
+
+def _all_pairs(light: DataFrame, openly: DataFrame) -> DataFrame:
+    """(centre, fp): pairs of different components that can link, from all shingles that both have in their beginnings.
+
+    k shared shingles up to the last, at places i and j, leave an overlap of
+    k + min(n - i - 1, n' - j - 1) at most. Shingles of few members (light)
+    give their pairs as they are, the others only those that their signatures
+    allow. True pairs pass, so that k is whole for them.
+    """
+    x, y = F.col("x.fp"), F.col("y.fp")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
+    sizes = F.least(F.col("x.n"), F.col("y.n")) * DEN >= F.greatest(F.col("x.n"), F.col("y.n")) * NUM
+    few = light.alias("x").join(light.alias("y"), met & (x < y) & sizes)
+    once = (F.col("x.comp") == F.col("x.first.comp")) | (x < y)
+    many = openly.alias("x").join(openly.where(F.col("comp") != F.col("first.comp")).alias("y"), met & once & _may_link("x.", "y."))
+
+    def told(rows: DataFrame) -> DataFrame:
+        side = lambda c, a, b: F.when(x > y, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}"))
+        return rows.select(side("fp", "x", "y").alias("a"), side("fp", "y", "x").alias("b"), side("n", "x", "y").alias("an"), side("n", "y", "x").alias("bn"), side("pos", "x", "y").alias("i"), side("pos", "y", "x").alias("j"))
+
+    pairs = told(few).unionByName(told(many)).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
+    return pairs.where(F.col("k") + F.least(F.col("an") - F.col("i") - 1, F.col("bn") - F.col("j") - 1) >= _need(F.col("an"), F.col("bn"))).select(F.col("a").alias("centre"), F.col("b").alias("fp"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, hot_of) -> DataFrame:
+def _signed(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """The pairs that their long signatures allow."""
+    side = lambda p: about.select(F.col("fp").alias(f"{p}fp"), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}wide"))
+    both = pairs.join(side("x_"), F.col("centre") == F.col("x_fp")).join(side("y_"), F.col("fp") == F.col("y_fp"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(len(n), -1) for i in (3, 5))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep = (n + m - apart) // 2 >= -(-NUM * (n + m) // (NUM + DEN))
+                yield batch.filter(pa.array(keep)).select([0, 1])
+
+    return both.select("centre", "fp", "x_n", "x_wide", "y_n", "y_wide").mapInArrow(run, "centre long, fp long")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, levels_of) -> DataFrame:
     """Distinct (centre, fp) pairs -> those that link."""
-    spark = docs.sparkSession
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / CHUNK).cast("int")
     members = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.lit(1).alias("is_member"), "fp")
     centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("is_member"), F.col("centre").alias("fp"))
     asked = staged(members.unionByName(centres).join(reps, "fp"), "asked")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)) + 1
-    maps = asked.select(spot.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
-    bits = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
-    for r in maps:  # at most 512 maps of 4 KB
-        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    bits_of = spark.sparkContext.broadcast(bits)
-    texts = docs.select("doc_id", "text", (spot - 1).alias("h")).mapInArrow(_wanted(bits_of), docs.select("doc_id", "text").schema).withColumnRenamed("doc_id", "t_id")
+    texts = _maybe_in(docs.select("doc_id", "text"), "doc_id", _bitmap(asked, "doc_id", WANTED_BITS), WANTED_BITS).withColumnRenamed("doc_id", "t_id")
     rows = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id"))).select("centre", "part", "is_member", "fp", "text")
     dealt = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member", "fp")
-    return staged(dealt.mapInArrow(_tested(hot_of), "a long, b long"), "tested")
+    found = staged(dealt.mapInArrow(_tested(levels_of), "a long, b long"), "tested")
+    discard(asked)
+    del rows, dealt, texts
+    reclaim(docs.sparkSession)
+    return found
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    described = staged(docs.mapInArrow(_describe, "kind int, a long, n long, b long"), "sets", ["kind"])
-    members = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("fp"))
-    # Hot shingles only set the order, so a stricter bound changes cost, never results.
-    many = described.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("times"))
-    least = max(16, members.where("n_shingles > 0").count() // 2000)
-    many = staged(many.where(F.col("times") >= least), "hot")
-    while many.where(F.col("times") >= least).count() > MOST_HOT:
-        least *= 2
-    hot = np.sort(np.array(many.where(F.col("times") >= least).select("token").toArrow().column(0).to_numpy(), dtype=np.int64).view(np.uint64))
-    hot_of = spark.sparkContext.broadcast(hot)
-
-    postings = staged(docs.select("text").mapInArrow(_postings(hot_of), "token long, pos int, n int, fp long"), "postings")
-    centres = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "fp")).alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token", "c")
-    shared = staged(postings.join(centres, "token"), "shared")
-    reps = staged(members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(shared.select("fp").distinct(), "fp"), "reps")
-
-    fits = _fits(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"))
-    tested = _verified(shared.where((F.col("fp") != F.col("c.fp")) & fits).select(F.col("c.fp").alias("centre"), "fp").distinct(), reps, docs, hot_of)
-    links, comps = tested, connected_components(tested)
-    for stars in range(1, MOST_STARS + 1):
-        c = comps.select(F.col("id"), F.col("comp"))
-        marked = shared.select("token", "pos", "n", "fp").join(c, F.col("fp") == F.col("id"), "left").select("token", "pos", "n", "fp", F.coalesce("comp", "fp").alias("comp"))
-        marked = staged(marked, "marked")
-        # First centres stand for their shingle; what is not in their component is open.
-        firsts = marked.groupBy("token").agg(F.min(F.struct("pos", "n", "fp", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        openly = staged(marked.join(firsts.select("token", F.col("c.comp").alias("first"), "m"), "token"), "open")
-        todo = openly.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("comp") != F.col("first"), F.col("m"))).alias("pairs")).first()
-        if not todo["rows"]:
+    described = staged(docs.mapInArrow(_describe, "kind int, a long, n long, b long, bits binary, s0 long, s1 long, s2 long, s3 long, wide binary"), "sets", ["kind"])
+    members = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("fp"), *SIGNS, "wide")
+    # Copies in one block count once, so the mean is an upper bound; it only sets the order.
+    mean = (members.agg(F.sum("n_shingles")).first()[0] or 0) / (2 << SKETCH_BITS)
+    slices = described.where("kind = 1").select(F.col("a").cast("int").alias("slice"), F.col("n").cast("int").alias("width"), "bits")
+    levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    for r in slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_leveled(mean), "slice int, levels binary").collect():
+        levels[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(bytes(r["levels"]), np.uint8)
+    levels_of = spark.sparkContext.broadcast(levels)
+    discard(described, "kind=1")
+
+    postings = staged(docs.select("text").mapInArrow(_postings(levels_of), "token long, pos int, n int, fp long"), "postings")
+    several = postings.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").cast("int").alias("m")).where("lo <> hi").select("token", "m")
+    several = staged(several, "several")
+    shared = staged(_maybe_in(postings, "token", _bitmap(several, "token", SHARED_BITS), SHARED_BITS).join(several, "token"), "shared")
+    discard(postings)
+    reclaim(spark)
+    about = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), *[F.min(c).alias(c) for c in (*SIGNS, "wide")])
+    about = staged(about.join(shared.select("fp").distinct(), "fp"), "reps")
+    reps = about.select("fp", "doc_id")
+
+    links, comps = None, spark.createDataFrame([], "id long, comp long")
+    light = shared.where(F.col("m") <= SMALL).drop("m")
+    crowded = staged(shared.where(F.col("m") > SMALL).drop("m").join(about.select("fp", *SIGNS), "fp"), "crowded")
+    for _ in range(MOST_STARS):
+        opened = _open(crowded, comps)
+        pairs = staged(opened.where((F.col("comp") != F.col("c.comp")) & _fits("", "c.")).select(F.col("c.fp").alias("centre"), "fp").distinct(), "stars")
+        asked = pairs.count()
+        if not asked:
             break
-        if stars == MOST_STARS or todo["pairs"] <= max(1_000_000, 8 * todo["rows"]):
-            x, y = openly.alias("x"), openly.where("comp <> first").alias("y")
-            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("x.first")) | (F.col("x.fp") < F.col("y.fp")))
-            fits = _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-            pairs = x.join(y, on & fits).select(F.col("y.fp").alias("centre"), F.col("x.fp").alias("fp")).distinct()
-            last = True
-        else:
-            seconds = openly.where("comp <> first").groupBy("token").agg(F.min(F.struct("pos", "n", "fp", "comp")).alias("c"))
-            fits = _fits(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"))
-            pairs = openly.join(seconds, "token").where((F.col("comp") != F.col("c.comp")) & fits).select(F.col("c.fp").alias("centre"), "fp").distinct()
-            last = False
-        links = links.unionByName(_verified(pairs, reps, docs, hot_of))
+        found = _verified(pairs, reps, docs, levels_of)
+        links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
-        if last:
+        if found.count() * 5 < asked:  # what is left is not one family
             break
+    pairs = staged(_all_pairs(_marked(light, comps), _open(crowded, comps, centred=False)), "pairs")
+    pairs = staged(_signed(pairs, about), "signed")
+    if pairs.limit(1).count():
+        found = _verified(pairs, reps, docs, levels_of)
+        comps = connected_components(found if links is None else links.unionByName(found))
     classes = members.join(comps, members["fp"] == comps["id"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "fp")).alias("class"))
     heads = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     full = classes.where("class is not null").join(heads, "class").select("doc_id", "n_shingles", "component_id")
@@ -287,10 +429,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of documents, one of each component: the row with the smallest doc_id (of equal ids one row).
 
-    Documents without words are components of their own and stay.
+    Documents without words are components of their own and stay, as do rows
+    without doc_id, which can't be told apart.
     """
-    heads = jaccard_components(docs).groupBy("component_id").agg(F.lit(1).alias("one")).select(F.col("component_id").alias("h_id"))
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["h_id"])).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    heads = staged(jaccard_components(docs).where("component_id is not null").select(F.col("component_id").alias("h_id")).distinct(), "heads")
+    reclaim(docs.sparkSession)
+    kept = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col("h_id")).drop("h_id").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 ORACLE = r"""
