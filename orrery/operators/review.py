@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.scalars import finite, learning_label, number_or_zero, review_label
 
+# The closing sentence of explanations (its other phrases stand in `explanations`), the distance columns.
 GUARDRAIL = "Candidate requires expert and field validation; this is not direct H2 detection."
 DISTANCES = ("road_distance_m", "built_up_distance_m", "water_distance_m", "quarry_distance_m", "woody_patch_distance_m", "irrigation_distance_m", "cloud_shadow_distance_m", "harvest_pattern_distance_m", "excluded_zone_distance_m")
 # Columns of the exported tables, in order.

@@ -9,6 +9,9 @@ import yaml
 from pydantic import BaseModel, ConfigDict, Field, PositiveFloat, PositiveInt, model_validator
 
 
+# The keys and defaults of all sections.
+
+
 class Section(BaseModel):
     model_config = ConfigDict(extra="forbid")
 
