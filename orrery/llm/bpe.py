@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from .common import only, released, tokenizer_path
 
-GROUP, KNOWN, SLICE = 50_000, 200_000, 1 << 20
+GROUP, KNOWN, SLICE = 100_000, 400_000, 1 << 20
 #: Characters of texts taken together; tokens decoded together.
-TOGETHER = 1_500_000
+TOGETHER = 3_000_000
 
 ENCODE = """
 WITH RECURSIVE step(w, toks, open) AS (
@@ -83,41 +83,59 @@ def cut(text: str, size: int = SLICE):
     yield text[lo:]
 
 
+class _Places(dict):
+    """Piece -> its number; new pieces get the next one and wait to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.waiting.append(piece)
+        return n
+
+
+def tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, pa.Table, pa.Table]:
+    """Ids of the single bytes, the merge table (every pair whose bytes join to an id) and the vocabulary."""
+    byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+    merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    l, r, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
+    return byte, pa.table({"l": l, "r": r, "rank": rank}), pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+
+
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one task; closing it gives DuckDB's memory back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, given: tuple[np.ndarray, pa.Table, pa.Table], pattern: str):
         import duckdb
 
         self.pieces = regex.compile(pattern).findall
-        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.byte = given[0]
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        l, r, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-        given = pa.table({"l": l, "r": r, "rank": rank})
-        self.sql.register("given", given)
-        self.sql.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.sql.unregister("given")
-        given = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
-        self.sql.register("given", given)
-        self.sql.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.sql.unregister("given")
+        for name, table in (("merges", given[1]), ("vocabulary", given[2])):
+            self.sql.register("given", table)
+            self.sql.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            self.sql.unregister("given")
+        self.forget()
+
+    def close(self):
+        self.sql.close()
         self.forget()
+        released()
 
     def forget(self):
-        self.place: dict[str, int] = {}
-        self.waiting: list[str] = []
+        self.place = _Places()
         self.ids, self.starts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
         self.joined = None
 
     def contract(self):
         """Encode the waiting pieces."""
-        if not self.waiting:
+        if not self.place.waiting:
             return
-        byte = self.byte
-        data = [p.encode("utf-8", "surrogatepass") for p in self.waiting]
+        data = [p.encode("utf-8", "surrogatepass") for p in self.place.waiting]
         ends = np.cumsum([0, *map(len, data)]).astype(np.int32)
-        flat = np.array(byte, dtype=np.int32)[np.frombuffer(b"".join(data), dtype=np.uint8)]
+        flat = self.byte[np.frombuffer(b"".join(data), dtype=np.uint8)]
         toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         self.sql.register("fresh", pa.table({"w": pa.array(np.arange(len(data), dtype=np.int32)), "toks": toks}))
         done = self.sql.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
@@ -126,7 +144,7 @@ class Codec:
             done = done.chunk(0)
         self.ids.append(done.flatten().to_numpy().astype(np.int32))
         self.starts.append(self.starts[-1][-1] + np.cumsum(np.diff(done.offsets.to_numpy())).astype(np.int64))
-        self.waiting, self.joined = [], None
+        self.place.waiting, self.joined = [], None
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -137,12 +155,8 @@ class Codec:
             spots: list[np.ndarray] = []
             for part in cut(text or ""):
                 found = self.pieces(part)
-                place = self.place
-                for p in set(found).difference(place):
-                    place[p] = len(place)
-                    self.waiting.append(p)
-                spots.append(np.fromiter(map(place.__getitem__, found), dtype=np.int64, count=len(found)))
-                if len(self.waiting) >= GROUP:
+                spots.append(np.fromiter(map(self.place.__getitem__, found), dtype=np.int64, count=len(found)))
+                if len(self.place.waiting) >= GROUP:
                     self.contract()
             places.append(spots[0] if len(spots) == 1 else np.concatenate(spots))
         self.contract()
@@ -181,17 +195,17 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple, Codec] = {}
+_held: dict[tuple, tuple] = {}
 
 
 def _codec(given) -> Codec:
-    """The worker's codec; another vocabulary replaces it."""
+    """A codec for a task; its tables are made once for a worker (another vocabulary replaces them)."""
     ranks, pattern = given.value
-    key = (id(given), len(ranks), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+    key = (id(given), len(ranks))
+    if key not in _held:
+        _held.clear()
+        _held[key] = tables(ranks)
+    return Codec(_held[key], pattern)
 
 
 def _shared(docs: DataFrame, path: str | None, pattern: str | None):
@@ -236,8 +250,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 if with_digests:
                     cols += [pa.array(list(map(len, ids)), pa.int64()), *(pa.array(x, pa.string()) for x in codec.digests(ids))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
-        codec.forget()
-        released()
+        codec.close()
 
     return docs.mapInArrow(run, T.StructType(fields))
 
@@ -262,6 +275,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFr
                 cols = [batch.column(i).slice(lo, hi - lo) for i in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(codec.decode(lists[lo:hi]), pa.binary())], names=[f.name for f in fields])
                 lo = hi
+        codec.close()
 
     return rows.mapInArrow(run, T.StructType(fields))
 

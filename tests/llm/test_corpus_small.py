@@ -133,7 +133,7 @@ def test_bpe_decode_round_trip(docs):
 def test_bpe_hard_strings(tik):
     import public_tokenizers
 
-    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    codec = bpe.Codec(bpe.tables(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN)
     texts = ["a\n\n b", "<|endoftext|> x", "  x \x1c\x1d y\x85z 12  34's 'S don't", "日本語 テスト😀 x" * 50, "x" * 3000, " \t" * 400 + "q", "\x00﻿​ a"]
     assert [list(x) for x in codec.encode(texts)] == [tik.encode_ordinary(t) for t in texts]
 
@@ -409,7 +409,7 @@ def test_nearest_recall(spark):
     x = centres[r.integers(0, 30, 6000)] + 0.4 * r.normal(size=(6000, 24))
     x[1000:1500] = x[0]
     frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(6000)], "vec_id long, embedding array<double>")
-    got = nearest.search(frame, probes=12).toPandas()
+    got = nearest.search(frame).toPandas()
     hits = total = 0
     for q, part in got.groupby("query_id"):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
@@ -420,6 +420,15 @@ def test_nearest_recall(spark):
     assert len(got) == total and hits / total >= 0.9
 
 
+def test_visits_follow_the_data():
+    """Vectors without structure need many cells, tight groups few."""
+    r = np.random.default_rng(11)
+    loose = r.normal(size=(3000, 32))
+    tight = r.normal(size=(30, 32))[r.integers(0, 30, 3000)] * 10 + 0.1 * r.normal(size=(3000, 32))
+    a, b = nearest.Index(loose, 30), nearest.Index(tight, 30)
+    assert b.visits(tight) < 4 < 12 < a.visits(loose) <= 30
+
+
 def test_anisotropic_codes_cut_parallel_error():
     r = np.random.default_rng(3)
     x = r.normal(size=(2000, 64))
