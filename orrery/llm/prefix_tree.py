@@ -311,12 +311,13 @@ def _open(shared: DataFrame, comps: DataFrame, centred: bool = True) -> DataFram
     marked = _marked(shared, comps)
     item = F.struct("pos", "n", "fp", "comp", *SIGNS)
     several = marked.groupBy("token").agg(F.min(item).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    opened = staged(marked.join(several.select("token", "first"), "token"), "open")
+    # One row for each shingle, written: if they are few, Spark knows it before it would deal members by shingle.
+    opened = staged(marked.join(staged(several.select("token", "first"), "firsts"), "token"), "open")
     if not centred:
         return opened
     other = F.col("comp") != F.col("first.comp")
     ahead = opened.groupBy("token").agg(F.count_if(~other).alias("grown"), F.min(F.when(other, item)).alias("second"))
-    return opened.join(ahead, "token").withColumn("c", F.when(F.col("grown") > 1, F.col("second")).otherwise(F.col("first"))).drop("grown", "second")
+    return opened.join(staged(ahead, "ahead"), "token").withColumn("c", F.when(F.col("grown") > 1, F.col("second")).otherwise(F.col("first"))).drop("grown", "second")
 
 
 def _all_pairs(light: DataFrame, openly: DataFrame) -> DataFrame:
@@ -390,6 +391,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         levels[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(bytes(r["levels"]), np.uint8)
     levels_of = spark.sparkContext.broadcast(levels)
     discard(described, "kind=1")
+    reclaim(spark)
 
     postings = staged(docs.select("text").mapInArrow(_postings(levels_of), "token long, pos int, n int, fp long"), "postings")
     several = postings.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").cast("int").alias("m")).where("lo <> hi").select("token", "m")
