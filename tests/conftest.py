@@ -13,9 +13,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from orrery.session import build_session
+    from orrery.staging import ship
 
     session = build_session("tests", cpus=4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g"})
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
 
