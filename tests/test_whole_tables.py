@@ -56,3 +56,25 @@ def test_fusion_of_whole_tables(spark, sf_dir):
     want += [(f"dynamic-{d}", "dynamic_only", "") for d in c.tolist() if d not in used]
     got = [(r["candidate_id"], r["evidence_class"], r["flags"]) for r in registry.QUERIES["fusion"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_risk_filters_of_whole_contexts(spark, sf_dir):
+    (k, a), (_, roads) = tables(sf_dir)
+    f = pd.read_parquet(f"{sf_dir}/supplier.parquet")["s_suppkey"].to_numpy(np.int64)
+    water = boxes(f * 211 % 100 * 100, f * 57 % 100 * 100, f % 7 * 50 + 300, 250)
+
+    def nearest(b):
+        x, y = a[:, :, None], b[:, None, :]
+        dx, dy = (np.maximum(np.maximum(x[i] - y[i + 2], y[i] - x[i + 2]), 0) for i in (0, 1))
+        return np.sqrt(dx**2 + dy**2).min(axis=1)
+
+    rows = {r["object_id"]: r for r in registry.QUERIES["risk_filters"](spark, sf_dir).collect()}
+    assert sorted(rows) == sorted(k.tolist())
+    w, h = a[2] - a[0], a[3] - a[1]
+    linear = np.maximum(w, h) / np.minimum(w, h) > 4
+    for s, road, wet, lin in zip(k.tolist(), nearest(roads), nearest(water), linear, strict=True):
+        r = rows[s]
+        assert abs(r["road_distance_m"] - road) < 1.1e-6 and abs(r["water_distance_m"] - wet) < 1.1e-6
+        flags = [n for n, c in (("linear_object_risk", lin), ("road_risk", road <= 20), ("small_object_risk", s % 15 <= 12), ("water_risk", wet <= 20)) if c]
+        assert r["flags"] == "|".join(flags)
+        assert abs(r["false_positive_penalty"] - (0.3 * (road <= 20) + 0.3 * (wet <= 20) + 0.25 * lin)) < 1e-9
