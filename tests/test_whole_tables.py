@@ -78,3 +78,16 @@ def test_risk_filters_of_whole_contexts(spark, sf_dir):
         flags = [n for n, c in (("linear_object_risk", lin), ("road_risk", road <= 20), ("small_object_risk", s % 15 <= 12), ("water_risk", wet <= 20)) if c]
         assert r["flags"] == "|".join(flags)
         assert abs(r["false_positive_penalty"] - (0.3 * (road <= 20) + 0.3 * (wet <= 20) + 0.25 * lin)) < 1e-9
+
+
+def test_recall_of_all_sites(spark, sf_dir):
+    (k, a), _ = tables(sf_dir)
+    f = pd.read_parquet(f"{sf_dir}/supplier.parquet")["s_suppkey"].to_numpy(np.int64)
+    b = boxes(f * 211 % 100 * 100, f * 57 % 100 * 100, f % 7 * 50 + 300, 250)
+    ranked = a[:, np.lexsort((k, -(k % 97)))]
+    x, y = b[:, :, None], ranked[:, None, :]
+    meets = (x[0] <= y[2]) & (y[0] <= x[2]) & (x[1] <= y[3]) & (y[1] <= x[3])
+    best = np.where(meets.any(axis=1), meets.argmax(axis=1) + 1, len(k) + 1)
+    got = {r["n"]: r["recall"] for r in registry.QUERIES["recall_at_n"](spark, sf_dir).collect()}
+    assert got.keys() == {10, 100, 500}
+    assert all(abs(got[n] - np.mean((best <= n) & meets.any(axis=1))) < 1e-6 for n in got)
