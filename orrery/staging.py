@@ -10,15 +10,21 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch, where the session names none.
+BATCH_BYTES = str(8 << 20)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, a single machine) a folder of
-    this machine is set, once per session.
+    Only where the session names none and runs on this machine alone (tests) a
+    folder of this machine is set, once per session; on a cluster executors
+    would not see each other's files there, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("orrery.scratch", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="orrery-scratch-")
         spark.conf.set("orrery.scratch", named)
     return named.rstrip("/")
@@ -64,12 +70,18 @@ def cleanup(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for a context, so that no worker needs it installed."""
+    """Send the package to the executors, once for a context, so that no worker needs it installed.
+
+    Arrow batches are bounded by size as well: 10,000 long texts would not fit
+    beside each other in a worker. A size that the session names stays.
+    """
     sc = spark.sparkContext
+    if sc.getConf().get("spark.sql.execution.arrow.maxBytesPerBatch") is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_orrery_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="orrery-"), "orrery.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="orrery-", dir=sc._temp_dir), "orrery.zip")  # goes with the context
     with zipfile.ZipFile(path, "w") as out:
         for folder, _, names in sorted(os.walk(top)):
             for name in sorted(n for n in names if n.endswith(".py")):
