@@ -2,25 +2,31 @@
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes
 in one global order: by the level of a frequency sketch (a counter for each of
-2 ** 24 ranges of the lower half of the hashes, filled by all documents; its level tells how far it stands
-out), then by hash. So shingles that many documents share come last. The
-sketch only sets the order: any order gives the same links. Two sets with a Jaccard similarity of 0.8 or more share a shingle
+2 ** 24 ranges of the hashes, filled by all documents; its level tells how far
+it stands out), then by hash. So shingles that many documents share come last
+wherever their hash lies. The sketch only sets the order: any order gives the
+same links. Two sets with a Jaccard similarity of 0.8 or more share a shingle
 among the first n - ceil(0.8 n) + 1 of both, so candidates meet at such
 shingles. Equal sets are one class before anything is joined.
 
-At every shared shingle the members are tested against a centre (the member
-that has the shingle earliest in its order: an original has fewer rare
-shingles in front than its edited copies). The tests run in chunks: the
-ordered sets of a chunk form a prefix tree, which is traversed with the
-centre's set. Overlaps of common beginnings are counted once, and subtrees
-are pruned where overlap so far plus the shorter remainder can't reach the
-required overlap. A 256-bit signature of parities bounds a pair's overlap
-beforehand. Members in one component need no further test among
-themselves. Shingles whose members fall into several components get further
-centres while the pairs left are many, then all the pairs left (of different
-components, past the length and position filters) are tested. So no link
-between different components is missed and large groups of near copies cost
-a few tests per member.
+Shingles with over SMALL members first test their members against a centre
+(the member that has the shingle earliest in its order: an original has fewer
+rare shingles in front than its edited copies), so a family of near copies
+costs a few tests a member: members in one component need no test among
+themselves. What is left is dealt by shared shingle. A task holds one shingle's
+members (of a large group two blocks of it) as a prefix tree of the shared
+shingles before this one; branches that have a shingle in common are left out,
+as they meet at that shingle, and so are members whose lengths, places or
+signatures (1,024 parities) can't reach the overlap. Pairs of a group are never
+rows of a join. Shingles of up to SMALL members are joined directly: at most
+SMALL - 1 rows for a row.
+
+The pairs left are verified in chunks: the ordered sets of a chunk form a
+prefix tree, which is traversed with the centre's set. Overlaps of common
+beginnings are counted once, and subtrees are pruned where overlap so far plus
+the shorter remainder can't reach the required overlap. No link between
+different components is missed; links inside a component that is already known
+are not listed.
 
 Cases: null or blank texts have an empty set, link with nothing and are their
 own component; texts of one to four words are one shingle; equal rows and
@@ -32,12 +38,15 @@ empty table; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, only, reclaim, released, staged, values
-from .components import connected_components
+from orrery.operators.components import connected_components
+
+from .common import WORD, discard, only, reclaim, released, staged, values
 from .shingles import fingerprint, shingle_set
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -45,10 +54,12 @@ NUM, DEN = 80, 100
 #: Shingles that a task holds before it counts them.
 BLOCK = 2_000_000
 #: Counters of the frequency sketch, in slices of 2 ** SLICE_BITS: one byte each is broadcast, whatever the input.
-#: They cover the lower half of the hashes, which come first in the order: only the others' beginnings reach further.
 SKETCH_BITS, SLICE_BITS = 24, 18
-#: Members tested with a centre in one tree; members of a shingle from which on it gets centres, and how many in turn.
-CHUNK, SMALL, MOST_STARS = 64, 32, 4
+#: Members tested with a centre in one tree; members of a shingle above which it gets centres, and how many in turn.
+CHUNK, SMALL, MOST_STARS = 64, 8, 4
+#: Members of a shingle that one task holds at once (larger groups are dealt as pairs of blocks), and the shared
+#: shingles of a member that go with it to tell at which of them a pair meets first.
+HELD, PATH = 1024, 64
 #: Bits of the maps of wanted documents (2 MB) and shared shingles (16 MB), whatever the input. They only spare
 #: the shuffle rows that can't match; the joins behind them are exact.
 WANTED_BITS, SHARED_BITS = 1 << 24, 1 << 27
@@ -58,18 +69,10 @@ def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
 
-_HALF = np.uint64(1 << 63)
-
-
 def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A sorted set in global order: by level, then by hash."""
-    half = int(np.searchsorted(tokens, _HALF))
-    level = levels[tokens[:half] >> np.uint64(63 - SKETCH_BITS)]
-    if not level.any():
-        return tokens
-    late = level > 0
-    order = np.argsort(level[late], kind="stable")
-    return np.concatenate([tokens[:half][~late], tokens[half:], tokens[:half][late][order]])
+    level = levels[tokens >> np.uint64(64 - SKETCH_BITS)]
+    return tokens[np.argsort(level, kind="stable")] if level.any() else tokens
 
 
 class Chunk:
@@ -128,26 +131,23 @@ def signature(tokens: np.ndarray, bits: int = 8) -> np.ndarray:
 
 
 def _describe(batches):
-    """kind 0: id, set size and set id of each document; kind 1: for each slice of the sketch, the shingles of a block of sets.
+    """kind 0: id, set size, set id and signatures of each document; kind 1: for each slice of the sketch, what the task counted.
 
     A slice is one byte a counter, or where it has few shingles their places.
     """
     seen: set[int] = set()
     held, count = [], 0
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
 
     def rows(kind, a, n, b, bits, signs=None, wide=None):
         signs = np.zeros((len(a), 4), dtype=np.int64) if signs is None else signs
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(signs[:, i]) for i in range(4)), pa.array(wide or [None] * len(a), pa.binary())], schema=_DESCRIBED)
 
-    def counted():
-        spots = np.sort(np.concatenate(held) >> np.uint64(63 - SKETCH_BITS)).astype(np.uint32)
-        slices = np.searchsorted(spots, np.arange((1 << SKETCH_BITS - SLICE_BITS) + 1, dtype=np.uint64) << np.uint64(SLICE_BITS))
-        for k in range(len(slices) - 1):
-            part = spots[slices[k] : slices[k + 1]] & np.uint32((1 << SLICE_BITS) - 1)
-            if len(part) * 4 >= 1 << SLICE_BITS:
-                yield rows(1, [k], [1], [0], [np.minimum(np.bincount(part, minlength=1 << SLICE_BITS), 255).astype(np.uint8).tobytes()])
-            elif len(part):
-                yield rows(1, [k], [4], [0], [part.tobytes()])
+    def add():
+        spots = np.sort((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+        first = np.flatnonzero(np.concatenate([[True], spots[1:] != spots[:-1]]))
+        at = spots[first]
+        counts[at] = np.minimum(counts[at] + np.diff(np.append(first, len(spots))), 255)
 
     for batch in batches:
         ids, sizes, prints, signs, wide = batch.column(0).to_pylist(), [], [], [], []
@@ -159,17 +159,28 @@ def _describe(batches):
             signs.append(signature(tokens).view(np.int64))
             wide.append(signature(tokens, WIDE_BITS).tobytes())
             if len(tokens) and fp not in seen:
+                if len(seen) > 500_000:
+                    seen.clear()
                 seen.add(fp)
-                held.append(tokens[: int(np.searchsorted(tokens, _HALF))])
-                count += len(held[-1])
-            if count >= BLOCK:
-                yield from counted()
-                held, count = [], 0
-                seen.clear()
+                held.append(tokens)
+                count += len(tokens)
+                if count >= BLOCK:
+                    add()
+                    held, count = [], 0
         yield rows(0, ids, sizes, prints, [None] * len(ids), np.array(signs, dtype=np.int64).reshape(-1, 4), wide)
     if held:
-        yield from counted()
+        add()
     held.clear()
+    for k in range(1 << SKETCH_BITS - SLICE_BITS):
+        part = counts[k << SLICE_BITS : (k + 1) << SLICE_BITS]
+        some = np.flatnonzero(part)
+        places = np.repeat(some.astype(np.uint32), part[some])
+        if len(places) * 4 >= 1 << SLICE_BITS:
+            yield rows(1, [k], [1], [0], [part.astype(np.uint8).tobytes()])
+        elif len(places):
+            yield rows(1, [k], [4], [0], [places.tobytes()])
+    del counts
+    seen.clear()
     released()
 
 
@@ -216,6 +227,8 @@ def _postings(levels_of):
                 prints.append(np.full(p, fp, dtype=np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(prints))], names=["token", "pos", "n", "fp"])
+        seen.clear()
+        released()
 
     return run
 
@@ -235,17 +248,14 @@ def _bitmap(rows: DataFrame, column: str, size: int):
 
 
 def _maybe_in(rows: DataFrame, column: str, bits_of, size: int) -> DataFrame:
-    """Rows whose value may be in the map."""
-    last = len(rows.columns)
+    """Rows whose value may be in the map. Only the places go through Python."""
 
-    def run(batches):
-        bits = bits_of.value
-        for batch in batches:
-            at = batch.column(last).to_numpy()
-            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select(list(range(last)))
+    @F.pandas_udf("boolean")
+    def there(at: pd.Series) -> pd.Series:
+        bits, at = bits_of.value, at.to_numpy(dtype=np.int64)
+        return pd.Series(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
 
-    return rows.select("*", (_spot(column, size) - 1).alias("__spot")).mapInArrow(run, rows.schema)
+    return rows.where(there(_spot(column, size) - 1))
 
 
 def _tested(levels_of):
@@ -276,6 +286,7 @@ def _tested(levels_of):
         close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        released()
 
     return run
 
@@ -320,27 +331,110 @@ def _open(shared: DataFrame, comps: DataFrame, centred: bool = True) -> DataFram
     return opened.join(staged(ahead, "ahead"), "token").withColumn("c", F.when(F.col("grown") > 1, F.col("second")).otherwise(F.col("first"))).drop("grown", "second")
 
 
-def _all_pairs(light: DataFrame, openly: DataFrame) -> DataFrame:
-    """(centre, fp): pairs of different components that can link, from all shingles that both have in their beginnings.
+def _near_end(n, pos, m, at):
+    """Most shingles that two sets share if they share those at pos and at: some before both, some behind both."""
+    return F.least(pos, at) + F.least(n - pos, m - at)
+
+
+def _few_pairs(light: DataFrame) -> DataFrame:
+    """(centre, fp): pairs of different components at shingles of up to SMALL members."""
+    x, y, n, m = F.col("x.fp"), F.col("y.fp"), F.col("x.n"), F.col("y.n")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (x < y)
+    fits = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (_near_end(n, F.col("x.pos"), m, F.col("y.pos")) >= _need(n, m))
+    return light.alias("x").join(light.alias("y"), met & fits).select(x.alias("centre"), y.alias("fp")).distinct()
 
-    k shared shingles up to the last, at places i and j, leave an overlap of
-    k + min(n - i - 1, n' - j - 1) at most. Shingles of few members (light)
-    give their pairs as they are, the others only those that their signatures
-    allow. True pairs pass, so that k is whole for them.
+
+class PathTree:
+    """Members of one shingle as a prefix tree of the shared shingles that each has before it.
+
+    The nodes are the distinct beginnings; a member sits on the node of its
+    whole path. Two members meet first at this shingle if no shingle is on both
+    paths. That is settled for pairs of nodes, once for all members on them.
+    """
+
+    def __init__(self, paths: list[np.ndarray]):
+        place = {(): 0}
+        self.node = np.zeros(len(paths), dtype=np.int64)
+        for i, path in enumerate(paths):
+            self.node[i] = place.setdefault(tuple(path.tolist()), len(place))
+        self.paths = [np.array(p, dtype=np.int64) for p in place]
+
+    def apart(self, step: int = 2048) -> np.ndarray:
+        """For pairs of nodes: whether their paths have no shingle in common."""
+        sizes = [len(p) for p in self.paths]
+        out = np.ones((len(sizes), len(sizes)), dtype=bool)
+        if not sum(sizes):
+            return out
+        tokens, at, often = np.unique(np.concatenate(self.paths), return_inverse=True, return_counts=True)
+        whose = np.repeat(np.arange(len(sizes)), sizes)
+        # A shingle on one path alone parts no two nodes, but the members of that node share it.
+        out[np.diag_indices(len(sizes))] = np.array(sizes) == 0
+        wanted = np.flatnonzero(often > 1)
+        column = np.full(len(tokens), -1)
+        column[wanted] = np.arange(len(wanted))
+        col = column[at]
+        for lo in range(0, len(wanted), step):
+            here = (col >= lo) & (col < lo + step)
+            table = np.zeros((len(sizes), min(step, len(wanted) - lo)), dtype=np.float32)
+            table[whose[here], col[here] - lo] = 1
+            out &= table @ table.T == 0
+        return out
+
+
+def _met(batches):
+    """Members (token, i, j, fp, n, pos, comp, wide, path, block), sorted by the first three -> pairs that meet first here and may link.
+
+    Of two different blocks i < j only pairs across them are taken.
     """
-    x, y = F.col("x.fp"), F.col("y.fp")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
-    sizes = F.least(F.col("x.n"), F.col("y.n")) * DEN >= F.greatest(F.col("x.n"), F.col("y.n")) * NUM
-    few = light.alias("x").join(light.alias("y"), met & (x < y) & sizes)
-    once = (F.col("x.comp") == F.col("x.first.comp")) | (x < y)
-    many = openly.alias("x").join(openly.where(F.col("comp") != F.col("first.comp")).alias("y"), met & once & _may_link("x.", "y."))
+    at, held = None, []
+
+    def close():
+        if len(held) < 2:
+            return None
+        fp, n, pos, comp = (np.array([r[k] for r in held], dtype=np.int64) for k in range(4))
+        wide = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint64).reshape(len(held), -1)
+        tree = PathTree([np.array(r[5], dtype=np.int64) for r in held])
+        apart, block, out = tree.apart(), np.array([r[6] for r in held]), []
+        for k in range(len(held) - 1):
+            o = np.arange(k + 1, len(held))
+            o = o[apart[tree.node[k], tree.node[o]] & (comp[o] != comp[k]) & (fp[o] != fp[k])]
+            if at[1] != at[2]:
+                o = o[block[o] != block[k]]
+            need = -(-NUM * (n[o] + n[k]) // (NUM + DEN))
+            most = np.minimum(np.minimum(n[o], n[k]), np.minimum(pos[o], pos[k]) + np.minimum(n[o] - pos[o], n[k] - pos[k]))
+            o, need = o[most >= need], need[most >= need]
+            if len(o):
+                parity = np.bitwise_count(wide[o] ^ wide[k]).sum(axis=1, dtype=np.int64)
+                o = o[(n[o] + n[k] - parity) // 2 >= need]
+                out.append(np.stack([np.minimum(fp[o], fp[k]), np.maximum(fp[o], fp[k])]))
+        if not out:
+            return None
+        pairs = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["centre", "fp"])
 
-    def told(rows: DataFrame) -> DataFrame:
-        side = lambda c, a, b: F.when(x > y, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}"))
-        return rows.select(side("fp", "x", "y").alias("a"), side("fp", "y", "x").alias("b"), side("n", "x", "y").alias("an"), side("n", "y", "x").alias("bn"), side("pos", "x", "y").alias("i"), side("pos", "y", "x").alias("j"))
+    for batch in batches:
+        for key, *row in zip(zip(*(values(batch.column(i)) for i in range(3)), strict=True), *(values(batch.column(i)) for i in range(3, 10)), strict=True):
+            if key != at:
+                if (done := close()) is not None:
+                    yield done
+                at, held = key, []
+            held.append(row)
+    if (done := close()) is not None:
+        yield done
+    released()
 
-    pairs = told(few).unionByName(told(many)).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
-    return pairs.where(F.col("k") + F.least(F.col("an") - F.col("i") - 1, F.col("bn") - F.col("j") - 1) >= _need(F.col("an"), F.col("bn"))).select(F.col("a").alias("centre"), F.col("b").alias("fp"))
+
+def _many_pairs(opened: DataFrame, about: DataFrame) -> DataFrame:
+    """(centre, fp): pairs of different components at shingles of more members, from a tree for each group or two blocks of it."""
+    rows = opened.select("token", "fp", "n", "pos", "comp")
+    path = rows.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, PATH).alias("path"))
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / HELD).cast("int").alias("blocks"))
+    full = rows.join(path, "fp").join(about.select("fp", "wide"), "fp").join(blocks, "token")
+    before = F.transform(F.filter("path", lambda p: p["pos"] < F.col("pos")), lambda p: p["token"])
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = full.select("token", "fp", "n", "pos", "comp", "wide", before.alias("path"), mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "comp", "wide", "path", "block")
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_met, "centre long, fp long").distinct()
 
 
 def _signed(pairs: DataFrame, about: DataFrame) -> DataFrame:
@@ -377,8 +471,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, levels_of) ->
     return found
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, n_shingles, component_id."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, fp) of every document; (fp, comp, least) of every distinct set with words: comp is its component, least its smallest doc_id."""
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     described = staged(docs.mapInArrow(_describe, "kind int, a long, n long, b long, bits binary, s0 long, s1 long, s2 long, s3 long, wide binary"), "sets", ["kind"])
@@ -396,7 +490,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     postings = staged(docs.select("text").mapInArrow(_postings(levels_of), "token long, pos int, n int, fp long"), "postings")
     several = postings.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").cast("int").alias("m")).where("lo <> hi").select("token", "m")
     several = staged(several, "several")
-    shared = staged(_maybe_in(postings, "token", _bitmap(several, "token", SHARED_BITS), SHARED_BITS).join(several, "token"), "shared")
+    shared = staged(_maybe_in(postings, "token", _bitmap(several, "token", SHARED_BITS), SHARED_BITS).join(several, "token").dropDuplicates(["token", "fp"]), "shared")
     discard(postings)
     reclaim(spark)
     about = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), *[F.min(c).alias(c) for c in (*SIGNS, "wide")])
@@ -417,27 +511,68 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         comps = connected_components(links)
         if found.count() * 5 < asked:  # what is left is not one family
             break
-    pairs = staged(_all_pairs(_marked(light, comps), _open(crowded, comps, centred=False)), "pairs")
-    pairs = staged(_signed(pairs, about), "signed")
+    few = staged(_signed(_few_pairs(_marked(light, comps)), about), "few")
+    many = staged(_many_pairs(_open(crowded, comps, centred=False), about), "many")
+    pairs = staged(few.unionByName(many).distinct(), "pairs")
     if pairs.limit(1).count():
         found = _verified(pairs, reps, docs, levels_of)
         comps = connected_components(found if links is None else links.unionByName(found))
-    classes = members.join(comps, members["fp"] == comps["id"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "fp")).alias("class"))
-    heads = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    full = classes.where("class is not null").join(heads, "class").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(classes.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    levels_of.unpersist()
+    sets = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(comps, F.col("fp") == F.col("id"), "left")
+    return members.select("doc_id", "n_shingles", "fp"), staged(sets.select("fp", F.coalesce("comp", "fp").alias("comp"), "least"), "classes")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, n_shingles, component_id."""
+    rows, sets = _classes(docs)
+    heads = staged(sets.groupBy("comp").agg(F.min("least").alias("component_id")), "components")
+    named = staged(_spread(sets.select("fp", "comp"), heads, "comp").select("fp", "component_id"), "named")
+    full = _spread(rows.where("n_shingles > 0"), named, "fp").select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows joined with the table's one row for their key. Keys of over a thousandth of the rows are broadcast: they are under 1,000."""
+    total = rows.count()
+    hot = F.broadcast(staged(rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") * 1000 > total).select(key), "hot"))
+    there = rows.join(F.broadcast(table.join(hot, key)), key)
+    return there.unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of documents, one of each component: the row with the smallest doc_id (of equal ids one row).
+    """Rows of documents, exactly one of each component: the one with the smallest doc_id; null ids come last.
 
-    Documents without words are components of their own and stay, as do rows
-    without doc_id, which can't be told apart.
+    Where that id is null or stands on several rows, the row's own set decides,
+    then the hash of the row, so the choice is the same in every run. Documents
+    without words are components of their own and all stay.
     """
-    heads = staged(jaccard_components(docs).where("component_id is not null").select(F.col("component_id").alias("h_id")).distinct(), "heads")
-    reclaim(docs.sparkSession)
-    kept = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col("h_id")).drop("h_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    spark = docs.sparkSession
+    rows, sets = _classes(docs)
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    heads = sets.groupBy("comp").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("head")).select(F.col("head.least").alias("h_id"), F.col("head.fp").alias("h_fp"))
+    several = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again"))
+    heads = staged(heads.join(several, F.col("h_id") == F.col("again"), "left"), "heads")
+    reclaim(spark)
+    kept = docs.where(worded).join(heads.where("h_id is not null and again is null").select("h_id"), F.col("doc_id") == F.col("h_id")).drop("h_id").unionByName(docs.where(~worded))
+    odd = heads.where("h_id is null or again is not null")
+    if not odd.limit(1).count():
+        return kept
+    asked = docs.where(worded & F.col("doc_id").isNull()).unionByName(docs.where(worded).join(odd.where("again is not null").select("again").distinct(), F.col("doc_id") == F.col("again"), "left_semi"))
+    found = _printed(asked).join(odd.select(F.col("h_id"), F.col("h_fp")), (F.col("__fp") == F.col("h_fp")) & F.col("doc_id").eqNullSafe(F.col("h_id")))
+    first = found.groupBy("h_fp").agg(F.min(F.struct(F.xxhash64(*docs.columns).alias("h"), *docs.columns)).alias("row")).select("row.*").drop("h")
+    return kept.unionByName(first)
+
+
+def _printed(docs: DataFrame) -> DataFrame:
+    """Rows with __fp, the id of their set."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            prints = pa.array([fingerprint(shingle_set(t)) for t in values(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
 ORACLE = r"""
