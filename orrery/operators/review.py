@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import finite, learning_label, number_or_zero, review_label
+from orrery.staging import staged
 
 # The closing sentence of explanations (its other phrases stand in `explanations`), the distance columns.
 GUARDRAIL = "Candidate requires expert and field validation; this is not direct H2 detection."
@@ -37,25 +38,27 @@ COMPONENTS = (
 ).split()
 
 
-def ranked(candidates: DataFrame, score: str = "object_score", key: str = "candidate_id", top: int | None = None, buckets: int = 1) -> DataFrame:
+def ranked(candidates: DataFrame, score: str = "object_score", key: str = "candidate_id", top: int | None = None) -> DataFrame:
     """Candidates with rank by score (down, missing as 0) and id (up); only the first `top` if given.
 
-    With a limit, the sort keeps `top` rows for each task. Without one, buckets
-    over 1 rank by ranges of the score: counts of the ranges first, rows inside
-    each range after, so no task sees all rows.
+    With a limit, the sort keeps `top` rows for each task. Without one, rows
+    are dealt to ranges of (score, id) and written; a row's rank is its place
+    in its range after the counts of the ranges before. No task sees all rows,
+    and equal scores are split by id.
     """
     s = number_or_zero(F.col(score))
     if top is not None:
         few = candidates.orderBy(s.desc(), F.col(key)).limit(max(0, top))
         return few.withColumn("rank", F.row_number().over(Window.orderBy(s.desc(), F.col(key))))
-    if buckets <= 1:
-        return candidates.withColumn("rank", F.row_number().over(Window.orderBy(s.desc(), F.col(key))))
-    rows = candidates.withColumn("__b", F.floor((1.0 - s) * buckets))
-    counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).select(F.col("__b").alias("__b2"), "__before")
-    inside = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(s.desc(), F.col(key))))
-    # Null-safe, so that no filter on the score is inferred and evaluated twice.
-    return inside.join(before, F.col("__b").eqNullSafe(F.col("__b2"))).withColumn("rank", (F.col("__before") + F.col("__r")).cast("int")).drop("__b", "__b2", "__before", "__r")
+    ordered = candidates.withColumn("__s", s).repartitionByRange(F.desc("__s"), F.col(key))
+    dealt = staged(ordered.withColumn("__range", F.spark_partition_id()), "ranges")
+    before, sizes = 0, []
+    for r in dealt.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # one row for each range
+        sizes.append((r["__range"], before))
+        before += r["n"]
+    offsets = candidates.sparkSession.createDataFrame(sizes, "__at int, __before long")
+    inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__range").orderBy(F.desc("__s"), F.col(key))))
+    return inside.join(F.broadcast(offsets), F.col("__range") == F.col("__at")).withColumn("rank", (F.col("__before") + F.col("__r")).cast("int")).drop("__s", "__range", "__at", "__before", "__r")
 
 
 def _json(column: Column) -> Column:
@@ -216,6 +219,21 @@ def recall_at(matches: DataFrame, sites: DataFrame, site: str, rank: str, ns: Se
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"top_{n}").alias("recall")) for n in wanted])).alias("r")).select("r.*")
 
 
+def site_labels(sites: DataFrame, labels: Sequence[str] = ("expert_label", "status", "label")) -> DataFrame:
+    """(label, n) of known sites by the first of the label columns that there is; without one all sites are assumed positive."""
+    name = next((c for c in labels if c in sites.columns), None)
+    text = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))), "[ -]", "_") if name else F.lit("positive_assumed_unlabeled_known_sites")
+    return sites.select(F.when(text == "", "unknown").otherwise(text).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def site_confidences(sites: DataFrame, names: Sequence[str] = ("expert_confidence", "confidence", "review_confidence")) -> DataFrame:
+    """(confidence, n) of known sites by the first of the columns that there is; without one no rows."""
+    name = next((c for c in names if c in sites.columns), None)
+    text = F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) if name else F.lit("")
+    rows = sites.select(F.when(text == "", "unknown").otherwise(text).alias("confidence"))
+    return (rows if name else rows.where("false")).groupBy("confidence").agg(F.count("*").alias("n"))
+
+
 def precision_at(scores: DataFrame, labels: DataFrame, top: int, key: str = "candidate_id", order: str = "ordinal", label: str = "expert_label") -> DataFrame:
     """Precision among the reviewed candidates of the top; unlabeled ones don't count."""
     place = F.coalesce(F.expr("try_cast(rank as int)"), F.lit(1_000_000))

@@ -45,12 +45,41 @@ def zonal_statistics(cells: DataFrame, pixels: DataFrame, keys: list[str], layer
     return totals.join(maps, keys, "left").withColumn("repeated_seasons", seasons)
 
 
+#: How the columns of merged detections come about; objects may lack any of them.
+_MEANS, _MAXIMA, _SUMS = ("mean_anomaly",), ("max_anomaly", "annulus_contrast", "ringness_score", "field_residual_max", "peer_residual_max", "temporal_residual_max"), ("source_detection_count",)
+_UNIONS, _MAPS = ("source_feature_names", "source_layer_ids", "anomalous_dates", "residual_types_present"), (("per_feature_mean", F.avg), ("per_feature_max", F.max))
+
+
 def merged_statistics(objects: DataFrame, group: str) -> DataFrame:
-    """Merged detections: mean of means, max of maxima, unions of sources and dates, sums of counts."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    out = objects.groupBy(group).agg(
-        F.avg("mean_anomaly").alias("mean_anomaly"), F.max("max_anomaly").alias("max_anomaly"),
-        union("source_feature_names").alias("source_feature_names"), union("source_layer_ids").alias("source_layer_ids"), union("anomalous_dates").alias("anomalous_dates"),
-        F.sum("source_detection_count").alias("source_detection_count"),
-    )
-    return out.withColumn("repeated_seasons", F.size(F.array_distinct(F.transform("anomalous_dates", lambda d: F.substring(d, 1, 4)))))
+    """Merged detections: means of means, maxima of maxima (also per feature), unions of sources and dates, sums of counts, seasons anew."""
+    have = set(objects.columns)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    ways = [F.avg(number(c)).alias(c) for c in _MEANS if c in have] + [F.max(number(c)).alias(c) for c in _MAXIMA if c in have]
+    ways += [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS if c in have] + [union(c).alias(c) for c in _UNIONS if c in have]
+    out = objects.groupBy(group).agg(*ways, F.count("*").alias("merged_detections"))
+    for name, how in _MAPS:
+        if name in have:
+            each = objects.select(F.col(group).alias("__g"), F.explode(name).alias("k", "v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("__g", "k").agg(how("v").alias("v"))
+            maps = each.groupBy("__g").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
+            out = out.join(maps, F.col(group) == F.col("__g"), "left").drop("__g").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,double>")))
+    return out.withColumn("repeated_seasons", F.size(F.array_distinct(F.transform("anomalous_dates", lambda d: F.substring(d, 1, 4))))) if "anomalous_dates" in have else out
+
+
+def merged_objects(cells: DataFrame, objects: DataFrame, group: str, cell: float, limits: dict[str, float] | None = None) -> DataFrame:
+    """Detections that were merged into groups, as objects again.
+
+    cells has (group, row, col), a cell once for each detection that has it;
+    objects has the detections' statistics and group. Shape metrics come from
+    the union of the cells, the flags from those metrics, the rest from
+    `merged_statistics`.
+    """
+    from orrery.operators import shapes
+
+    union = cells.select(group, "row", "col").distinct()
+    formed = shapes.cell_metrics(union, group, cell).withColumn("support_pixel_count", F.round(F.col("area_m2") / (cell * cell)).cast("int"))
+    rows = formed.join(merged_statistics(objects, group), group)
+    for c in ("ringness_score", "annulus_contrast"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(0.0))
+    return rows.withColumn("dynamic_object_flags", shapes.object_flags(limits)).withColumn("passes_dynamic_filters", F.size("dynamic_object_flags") == 0)

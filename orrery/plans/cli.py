@@ -7,7 +7,6 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery import __version__
@@ -18,14 +17,14 @@ from orrery.session import build_session
 from orrery.sources import vectors
 from orrery.sources.config import load_config, resolved
 from orrery.sources.manifest import load_manifest
-from orrery.staging import ship
+from orrery.staging import cleanup, ship
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file as text columns, blank for missing, with its line as ordinal."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     rows = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
-    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    return rows.withColumn("ordinal", F.monotonically_increasing_id() + 1)  # a file with quoted line breaks is one part, read in order
 
 
 def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
@@ -61,6 +60,7 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("--input", "-i", required=True)
     c = [c, sub.add_parser("run-mvp")]
     c[1].add_argument("--manifest", "-m", required=True)
+    c[1].add_argument("--labels", help="reviewed labeling table, for the precision in the validation summary")
     for x in c:
         x.add_argument("--config", "-c", required=True)
         x.add_argument("--output-dir", "-o", required=True)
@@ -79,13 +79,14 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "validate-config":
         print(json.dumps(resolved(load_config(a.config)), indent=2))
         return 0
-    spark = SparkSession.getActiveSession() or build_session()
+    given = SparkSession.getActiveSession()
+    spark = given or build_session()
     ship(spark)
     if a.command == "static-candidates":
         paths = runs.static_candidates(spark, a.input, load_config(a.config), a.output_dir)
     elif a.command == "run-mvp":
         config, manifest = load_config(a.config), load_manifest(a.manifest)
-        paths = runs.write_artifacts(runs.run(spark, config, manifest), config, manifest, a.output_dir)
+        paths = runs.write_artifacts(runs.run(spark, config, manifest), config, manifest, a.output_dir, read_rows(spark, a.labels) if a.labels else None)
     elif a.command == "migrate-labels":
         paths = migrate(spark, a.old_labels, a.old_candidates, a.new_labels, a.new_candidates, a.output_dir)
     else:
@@ -93,6 +94,8 @@ def main(args: list[str] | None = None) -> int:
     print(reports.GUARD)
     for name, path in paths.items():
         print(f"{name}={path}")
+    if given is None:  # nobody else reads what this application has staged
+        cleanup(spark)
     return 0
 
 

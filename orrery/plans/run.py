@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -261,18 +262,25 @@ def _strata(fields: DataFrame) -> DataFrame | None:
     return fields.select((F.col("ordinal") + 1).alias("zone"), robust.stratum_label(*[F.get_json_object("properties", f"$.{c}") for c in names]).alias("stratum"))
 
 
-def validation_summary(result: Run, scores: DataFrame, config: RunConfig) -> dict:
-    """Small aggregates of the ranked candidates; what can't be known is null with a flag."""
+def validation_summary(result: Run, scores: DataFrame, config: RunConfig, labels: DataFrame | None = None) -> dict:
+    """Small aggregates of the ranked candidates; what can't be known is null with a flag.
+
+    labels has candidate_id, ordinal and expert_label of reviewed candidates.
+    """
     v = config.validation
     top, recalls = (v.top_n, v.known_site_recall_top_n or [v.top_n]) if v else (20, [20])
     objects, flags = result.objects, set()
     recall: dict = {f"top_{n}": None for n in recalls}
+    site_counts, confidences = {}, {}
     if result.known_sites is None:
         flags.add("missing_known_sites")
     else:
         ranked = review.ranked(objects.select("candidate_id", "object_score", "geometry", *spatial.BOX))
         sites = result.known_sites.select(F.col("ordinal").alias("site_id"), "geometry", *spatial.BOX, *[F.get_json_object("properties", f"$.{c}").alias(c) for c in ("expert_label", "status", "label")])
         label = F.coalesce("expert_label", "status", "label")
+        given = _with_properties(result.known_sites, ("expert_label", "status", "label", "expert_confidence", "confidence", "review_confidence"))
+        site_counts = {r["label"]: r["n"] for r in review.site_labels(given).orderBy("label").collect()}
+        confidences = {r["confidence"]: r["n"] for r in review.site_confidences(given).orderBy("confidence").collect()}
         if sites.where(label.isNotNull()).limit(1).count():
             from orrery.functions.scalars import review_label
 
@@ -282,20 +290,35 @@ def validation_summary(result: Run, scores: DataFrame, config: RunConfig) -> dic
         else:
             met = spatial.measured_pairs(ranked, sites.select("site_id", "geometry", *spatial.BOX), 250.0).where("distance = 0").select(F.col("r_site_id").alias("site_id"), F.col("l_rank").alias("rank"))
             recall = {f"top_{r['n']}": r["recall"] for r in review.recall_at(met, sites, "site_id", "rank", recalls).collect()}
-    flags.add("missing_expert_labels")
+    reviewed_top = v.expert_precision_top_n if v and v.expert_precision_top_n else top
+    precision = {"top_n": reviewed_top, "precision": None, "positive_count": 0, "negative_count": 0}
+    if labels is not None:
+        precision = review.precision_at(scores, labels, reviewed_top).first().asDict()
+    precision["reviewed_count"] = precision["positive_count"] + precision["negative_count"]
+    if not precision["reviewed_count"]:
+        flags.add("missing_expert_labels")
+    elif precision["reviewed_count"] < scores.limit(reviewed_top).count():
+        flags.add("partial_expert_labels")
     counted = lambda c: {r["flag"]: r["n"] for r in review.flag_histogram(objects, c).orderBy("flag").collect()}
     missing = review.missing_data(objects, "missing_data_flags").first()["affected_candidates"]
     if missing:
         flags.add("candidate_missing_data_flags_present")
     return {
         "schema_version": "validation_summary.v1", "guardrail": reports.GUARD, "candidate_count": objects.count(), "top_n": top, "known_site_recall_at_n": recall,
-        "expert_precision_top_n": {"top_n": (v.expert_precision_top_n if v and v.expert_precision_top_n else top), "precision": None, "reviewed_count": 0, "positive_count": 0, "negative_count": 0},
+        "known_site_label_counts": site_counts, "known_site_confidence_counts": confidences, "expert_precision_top_n": precision,
         "false_positive_counts": counted("false_positive_flags"), "multi_sensor_agreement": review.agreement(objects, "source_feature_names").first().asDict(),
         "persistence": review.persistence(scores, "persistence").first().asDict(), "missing_data": {"affected_candidate_count": missing, "flag_counts": counted("missing_data_flags")},
         "missing_data_flags": sorted(flags), "unlabeled_background_treated_as_negative": False,
     }
 
 
+def _with_properties(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with a column for each of the properties that any of them has."""
+    values = {n: F.get_json_object("properties", f"$.{n}") for n in names}
+    there = rows.agg(*[F.count(v).alias(n) for n, v in values.items()]).first()
+    return rows.select(*[v.alias(n) for n, v in values.items() if there[n]], F.lit(1).alias("__one"))
+
+
 def _swept(folder: Path, pattern: str) -> Path:
     folder.mkdir(parents=True, exist_ok=True)
     for old in folder.glob(pattern):
@@ -303,8 +326,11 @@ def _swept(folder: Path, pattern: str) -> Path:
     return folder
 
 
-def write_artifacts(result: Run, config: RunConfig, manifest: Manifest, out: str | Path) -> dict[str, Path]:
-    """All files of a run; what is switched off is removed if an earlier run left it. Only review files stop at the top N."""
+def write_artifacts(result: Run, config: RunConfig, manifest: Manifest, out: str | Path, labels: DataFrame | None = None) -> dict[str, Path]:
+    """All files of a run; what is switched off is removed if an earlier run left it. Only review files stop at the top N.
+
+    labels are reviews of an earlier look at the candidates, if there are any.
+    """
     out = Path(out)
     out.mkdir(parents=True, exist_ok=True)
     o, limit = config.outputs, max(0, config.outputs.candidates_top_n)
@@ -326,7 +352,7 @@ def write_artifacts(result: Run, config: RunConfig, manifest: Manifest, out: str
     paths["learning_dataset.csv"] = reports.write_csv(learning, out / "learning_dataset.csv")
     dump = lambda name, data: (out / name).write_text(json.dumps(data, indent=2, sort_keys=True) + "\n", encoding="utf-8")
     if o.export_validation_summary is not False:
-        dump("validation_summary.json", validation_summary(result, scores, config))
+        dump("validation_summary.json", validation_summary(result, scores, config, labels))
     if o.export_resolved_config:
         dump("resolved_config.json", resolved(config))
     folder = _swept(out / "passports", "*.md")
@@ -335,9 +361,10 @@ def write_artifacts(result: Run, config: RunConfig, manifest: Manifest, out: str
             (folder / Path(r["passport_path"]).name).write_text(reports.passport(r.asDict()), encoding="utf-8")
     folder = _swept(out / "time_series", "*.csv")
     if o.export_time_series is not False:
-        series = review.time_series(result.objects, limit).collect()
-        for i in sorted({r["candidate_id"] for r in series}):
-            lines = [f"{r['candidate_id']},{r['date']},{r['object_score']},{r['dynamic_score']}" for r in series if r["candidate_id"] == i]
+        by_id: dict[str, list[str]] = {}
+        for r in review.time_series(result.objects, limit).collect():  # of the top N
+            by_id.setdefault(r["candidate_id"], []).append(f"{r['candidate_id']},{r['date']},{r['object_score']},{r['dynamic_score']}")
+        for i, lines in sorted(by_id.items()):
             (folder / f"{reports.safe_stems([i])[0]}.csv").write_text("\n".join(["candidate_id,date,object_score,dynamic_score", *lines]) + "\n", encoding="utf-8")
     folder = _swept(out / "quicklooks", "*.png")
     if o.generate_quicklooks is True:

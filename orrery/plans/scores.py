@@ -122,7 +122,7 @@ def object_scores(spark, sf_dir):
 
 @query(f"WITH {_CANDIDATES} SELECT candidate_id, score AS object_score, row_number() OVER (ORDER BY score DESC, candidate_id)::INT AS rank FROM o")
 def priority_rank(spark, sf_dir):
-    return review.ranked(scored(spark, sf_dir), buckets=64).select("candidate_id", "object_score", "rank")
+    return review.ranked(scored(spark, sf_dir)).select("candidate_id", "object_score", "rank")
 
 
 @query(f"WITH {_CANDIDATES} SELECT candidate_id, score AS object_score, row_number() OVER (ORDER BY score DESC, candidate_id)::INT AS rank FROM o ORDER BY 3 LIMIT 30")
@@ -177,7 +177,7 @@ def _labels(spark, sf_dir):
 
 def _ranked_documents(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("candidate_id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("field_id"), (F.col("n_chars") % 1000 / 1000.0).alias("object_score"))
-    return review.ranked(rows, buckets=32)
+    return review.ranked(rows)
 
 
 _LABELLED = (

@@ -434,10 +434,37 @@ def test_components(spark):
 
 def test_ranks(spark):
     df = frame(spark, [("b", 0.5), ("a", 0.5), ("c", None), ("d", 0.9), ("e", float("nan")), ("f", 0.0)], "candidate_id string, object_score double")
-    for kind in ({}, {"buckets": 8}, {"top": 10}):
+    for kind in ({}, {"top": 10}):
         got = [(r["rank"], r["candidate_id"]) for r in review.ranked(df, **kind).orderBy("rank").collect()]
         assert got == [(1, "d"), (2, "a"), (3, "b"), (4, "c"), (5, "e"), (6, "f")]
     assert review.ranked(df, top=2).count() == 2 and review.ranked(df, top=-1).count() == 0
+    assert review.ranked(df.where("false")).count() == 0
+
+
+def test_ranks_over_many_tasks(spark):
+    """Equal scores are split by id; every row has its own rank, and no task holds most of them."""
+    rows = spark.range(4000).select(F.format_string("c%05d", (F.col("id") * 7919) % 4000).alias("candidate_id"), F.when(F.col("id") % 4 == 0, F.col("id") % 5 / 5.0).otherwise(0.25).alias("object_score"))
+    got = review.ranked(rows.repartition(5)).collect()
+    want = sorted(rows.collect(), key=lambda r: (-r["object_score"], r["candidate_id"]))
+    assert [r["candidate_id"] for r in sorted(got, key=lambda r: r["rank"])] == [r["candidate_id"] for r in want]
+    assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 4001))
+
+
+def test_merged_statistics(spark):
+    rows = [
+        ("g", 0.2, 0.5, 2, ["NDMI"], ["a"], ["2021-05-01"], ["field"], {"NDMI": 0.2}, {"NDMI": 0.5}, 0.1, None),
+        ("g", 0.4, float("nan"), 3, ["NDVI", "NDMI"], ["b", "a"], ["2022-05-01", "2021-05-01"], ["peer"], {"NDMI": 0.6, "NDVI": 0.3}, {"NDMI": 0.4, "NDVI": float("nan")}, float("nan"), None),
+        ("h", 0.1, 0.1, None, [], [], [], [], {}, {}, 0.0, 2.0),
+    ]
+    schema = "part string, mean_anomaly double, max_anomaly double, source_detection_count int, source_feature_names array<string>, source_layer_ids array<string>, anomalous_dates array<string>, residual_types_present array<string>, per_feature_mean map<string,double>, per_feature_max map<string,double>, ringness_score double, peer_residual_max double"
+    from orrery.operators import zonal
+
+    got = {r["part"]: r for r in zonal.merged_statistics(frame(spark, rows, schema), "part").collect()}
+    g, h = got["g"], got["h"]
+    assert abs(g["mean_anomaly"] - 0.3) < 1e-12 and g["max_anomaly"] == 0.5 and g["source_detection_count"] == 5 and g["merged_detections"] == 2 and g["repeated_seasons"] == 2
+    assert g["source_feature_names"] == ["NDMI", "NDVI"] and g["source_layer_ids"] == ["a", "b"] and g["residual_types_present"] == ["field", "peer"]
+    assert abs(g["per_feature_mean"]["NDMI"] - 0.4) < 1e-12 and g["per_feature_max"] == {"NDMI": 0.5} and g["ringness_score"] == 0.1 and g["peer_residual_max"] is None
+    assert h["source_detection_count"] == 0 and h["per_feature_mean"] == {} and h["repeated_seasons"] == 0 and h["peer_residual_max"] == 2.0
 
 
 def test_short_numbers(spark):
