@@ -8,6 +8,15 @@ merge table, takes each piece's leftmost pair of minimum rank and contracts
 it, until no piece has a pair. Decoding joins token-position rows with the
 vocabulary and aggregates their bytes in position order.
 
+A piece of over `LONG` bytes is encoded in parts of `LONG`, which are then
+joined two by two, level by level. A sequence of tokens is the encoding of its
+bytes exactly if every two neighbours are the encoding of theirs: up to the
+first contraction across a boundary both sides have contracted as they do
+alone. So a seam is checked on its two tokens; where they don't hold, the
+tokens around it are encoded again together, twice as many each time, until
+the seams at both ends hold. All seams of a level go into one query. Time and
+memory stay in proportion to the length.
+
 Memory is bounded: texts are cut where the pattern must cut anyway, so a long
 text is handled slice by slice; pieces wait for the query in groups of
 `GROUP`; the pieces known to a worker are forgotten beyond `KNOWN` and when its
@@ -33,6 +42,8 @@ from pyspark.sql import types as T
 from .common import only, released, tokenizer_path
 
 GROUP, KNOWN, SLICE = 100_000, 400_000, 1 << 20
+#: Bytes of a piece, or of a part of one, that the query contracts as a whole; bytes of a query.
+LONG, QUERY_BYTES = 48, 2_000_000
 #: Characters of texts taken together; tokens decoded together.
 TOGETHER = 3_000_000
 
@@ -52,9 +63,10 @@ WITH RECURSIVE step(w, toks, open) AS (
 SELECT w, arg_min(toks, len(toks)) AS ids FROM step WHERE NOT open GROUP BY w ORDER BY w
 """
 
+#: One thread adds up the rows in the order of the subquery, so that a text's tokens are sorted once and not text by text.
 DECODE = """
-SELECT d, string_agg(hex, '' ORDER BY spot) AS hex
-FROM (SELECT d, unnest(ids) AS id, unnest(range(len(ids))) AS spot FROM encoded) JOIN vocabulary USING (id)
+SELECT d, string_agg(hex, '') AS hex
+FROM (SELECT d, hex FROM (SELECT d, unnest(ids) AS id, unnest(range(len(ids))) AS spot FROM encoded) JOIN vocabulary USING (id) ORDER BY d, spot)
 GROUP BY d
 """
 
@@ -96,22 +108,22 @@ class _Places(dict):
         return n
 
 
-def tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, pa.Table, pa.Table]:
-    """Ids of the single bytes, the merge table (every pair whose bytes join to an id) and the vocabulary."""
+def tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, pa.Table, pa.Table, dict[bytes, int], dict[int, bytes]]:
+    """Ids of the single bytes, the merge table (every pair whose bytes join to an id), the vocabulary as a table, as ids of bytes and as bytes of ids."""
     byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
     merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     l, r, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-    return byte, pa.table({"l": l, "r": r, "rank": rank}), pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+    return byte, pa.table({"l": l, "r": r, "rank": rank}), pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}), ranks, {r: t for t, r in ranks.items()}
 
 
 class Codec:
     """Encoder and decoder of one task; closing it gives DuckDB's memory back."""
 
-    def __init__(self, given: tuple[np.ndarray, pa.Table, pa.Table], pattern: str):
+    def __init__(self, given: tuple[np.ndarray, pa.Table, pa.Table, dict[bytes, int], dict[int, bytes]], pattern: str):
         import duckdb
 
         self.pieces = regex.compile(pattern).findall
-        self.byte = given[0]
+        self.byte, self.id_of, self.bytes_of = given[0], given[3], given[4]
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         for name, table in (("merges", given[1]), ("vocabulary", given[2])):
             self.sql.register("given", table)
@@ -129,21 +141,82 @@ class Codec:
         self.ids, self.starts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
         self.joined = None
 
+    def _contracted(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one behind the other, and where each word's begin and the last one's end."""
+        ids, sizes, lo = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], 0
+        lengths = np.cumsum([0, *map(len, data)])
+        while lo < len(data):
+            hi = max(int(np.searchsorted(lengths, lengths[lo] + QUERY_BYTES, side="right")) - 1, lo + 1)
+            flat = self.byte[np.frombuffer(b"".join(data[lo:hi]), dtype=np.uint8)]
+            toks = pa.ListArray.from_arrays(pa.array((lengths[lo : hi + 1] - lengths[lo]).astype(np.int32)), pa.array(flat))
+            self.sql.register("fresh", pa.table({"w": pa.array(np.arange(hi - lo, dtype=np.int32)), "toks": toks}))
+            done = self.sql.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+            self.sql.unregister("fresh")
+            if isinstance(done, pa.ChunkedArray):
+                done = done.chunk(0)
+            ids.append(done.flatten().to_numpy().astype(np.int32))
+            sizes.append(np.diff(done.offsets.to_numpy()).astype(np.int64))
+            lo = hi
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def _words(self, data: list[bytes]) -> list[list[int]]:
+        """Ids of each word; equal words are contracted once."""
+        place = {w: i for i, w in enumerate(dict.fromkeys(data))}
+        ids, starts = self._contracted(list(place))
+        return [ids[starts[k] : starts[k + 1]].tolist() for k in map(place.__getitem__, data)]
+
+    def _join(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The encoding of the bytes of both sides of each pair, from the encodings of the sides."""
+        out: list[list[int]] = [[] for _ in pairs]
+        text = lambda ids: b"".join(map(self.bytes_of.__getitem__, ids))
+        asked = range(len(pairs))
+        around = 1
+        while asked:
+            sides = [(pairs[p][0][-around:], pairs[p][1][:around]) for p in asked]
+            middles = self._words([text(a) + text(b) for a, b in sides])
+            edges, seams = [], []
+            for p, middle in zip(asked, middles, strict=True):
+                a, b = pairs[p]
+                out[p] = a[:-around] + middle + b[around:]
+                seams.append([t for t in ((*a[-around - 1 : -around], middle[0]), (middle[-1], *b[around : around + 1])) if len(t) == 2])
+                edges += seams[-1]
+            holds = {t for t, ids in zip(edges, self._words([text(t) for t in edges]), strict=True) if tuple(ids) == t}
+            asked = [p for p, ts in zip(asked, seams, strict=True) if not holds.issuperset(ts)]
+            around *= 2
+        return out
+
+    def _long(self, data: list[bytes]) -> list[list[int]]:
+        """Ids of long pieces."""
+        parts = [[d[i : i + LONG] for i in range(0, len(d), LONG)] for d in data]
+        ids = iter(self._words([x for p in parts for x in p]))
+        segments = [[next(ids) for _ in p] for p in parts]
+        while any(len(x) > 1 for x in segments):
+            done = iter(self._join([(x[i], x[i + 1]) for x in segments for i in range(0, len(x) - 1, 2)]))
+            segments = [[next(done) for _ in range(0, len(x) - 1, 2)] + x[len(x) - len(x) % 2 :] for x in segments]
+        return [x[0] for x in segments]
+
     def contract(self):
         """Encode the waiting pieces."""
         if not self.place.waiting:
             return
         data = [p.encode("utf-8", "surrogatepass") for p in self.place.waiting]
-        ends = np.cumsum([0, *map(len, data)]).astype(np.int32)
-        flat = self.byte[np.frombuffer(b"".join(data), dtype=np.uint8)]
-        toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        self.sql.register("fresh", pa.table({"w": pa.array(np.arange(len(data), dtype=np.int32)), "toks": toks}))
-        done = self.sql.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-        self.sql.unregister("fresh")
-        if isinstance(done, pa.ChunkedArray):
-            done = done.chunk(0)
-        self.ids.append(done.flatten().to_numpy().astype(np.int32))
-        self.starts.append(self.starts[-1][-1] + np.cumsum(np.diff(done.offsets.to_numpy())).astype(np.int64))
+        # As the library does, a piece that is in the vocabulary is that id, whatever contraction would make of it.
+        done = {i: [self.id_of[d]] for i, d in enumerate(data) if d in self.id_of}
+        long = [i for i, d in enumerate(data) if len(d) > LONG and i not in done]
+        if long:
+            done.update(zip(long, self._long([data[i] for i in long]), strict=True))
+        ids, starts = self._contracted([b"" if i in done else d for i, d in enumerate(data)])
+        sizes = np.diff(starts)
+        sizes[list(done)] = [len(x) for x in done.values()]
+        given = np.zeros(len(data), dtype=bool)
+        given[list(done)] = True
+        here = np.repeat(given, sizes)
+        whole = np.empty(len(here), dtype=np.int32)
+        whole[~here] = ids
+        whole[here] = [t for i in sorted(done) for t in done[i]]
+        ids, starts = whole, np.cumsum(np.concatenate([[0], sizes]))
+        self.ids.append(ids)
+        self.starts.append(self.starts[-1][-1] + starts[1:])
         self.place.waiting, self.joined = [], None
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
