@@ -162,6 +162,94 @@ def test_tiff_round_trip():
         pixels.read_tiff(b"II+\0" + b"\0" * 20)
 
 
+def packed(values, kind, packing=1, predictor=1, tile=None, big=False, strip=None):
+    """A TIFF written plainly for the reader's tests: any sample type, packing, predictor, strips or tiles, classic or big."""
+    import struct
+    import zlib
+
+    import zstandard
+
+    def runs(data):
+        return b"".join(bytes([len(data[i : i + 100]) - 1]) + data[i : i + 100] for i in range(0, len(data), 100))
+
+    def words(data):
+        table, out, held, bits, width, word = {bytes([i]): i for i in range(256)}, bytearray(), 0, 0, 9, b""
+
+        def put(code):
+            nonlocal held, bits
+            held, bits = (held << width) | code, bits + width
+            while bits >= 8:
+                bits -= 8
+                out.append(held >> bits & 255)
+            held &= (1 << bits) - 1
+
+        put(256)
+        size = 258
+        for b in data:
+            new = word + bytes([b])
+            if new in table:
+                word = new
+                continue
+            put(table[word])
+            table[new], size = size, size + 1
+            width = max(9, min(12, size.bit_length()))
+            if size == 4094:
+                put(256)
+                table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
+            word = bytes([b])
+        if word:
+            put(table[word])
+            size += 1
+            width = max(9, min(12, size.bit_length()))
+        put(257)
+        if bits:
+            out.append(held << (8 - bits) & 255)
+        return bytes(out)
+
+    pack = {1: bytes, 5: words, 8: zlib.compress, 32773: runs, 50000: lambda d: zstandard.ZstdCompressor().compress(d)}[packing]
+    h, w = values.shape
+    th, tw = tile or (strip or h, w)
+    blocks = []
+    for r in range(0, h, th):
+        for c in range(0, w, tw):
+            part = values[r : r + th, c : c + tw]
+            if tile:
+                part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1])))
+            part = part.astype(kind)
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=np.zeros((part.shape[0], 1), dtype=kind)).astype(kind)
+            raw = part.tobytes()
+            if predictor == 3:
+                planes = part.astype(np.dtype(kind).newbyteorder(">")).view(np.uint8).reshape(part.shape[0], part.shape[1], -1).transpose(0, 2, 1).reshape(part.shape[0], -1)
+                raw = np.diff(planes, axis=1, prepend=np.zeros((planes.shape[0], 1), dtype=np.uint8)).astype(np.uint8).tobytes()
+            blocks.append(pack(raw))
+    start = 16 if big else 8
+    offsets = [start + sum(map(len, blocks[:i])) for i in range(len(blocks))]
+    form = {"u": 1, "i": 2, "f": 3}[np.dtype(kind).kind]
+    entries = {256: (w,), 257: (h,), 258: (np.dtype(kind).itemsize * 8,), 259: (packing,), 277: (1,), 317: (predictor,), 339: (form,)}
+    entries |= {322: (tw,), 323: (th,), 324: offsets, 325: list(map(len, blocks))} if tile else {273: offsets, 278: (th,), 279: list(map(len, blocks))}
+    at, word, head, entry, inline = start + sum(map(len, blocks)), *(("Q", "Q", 20, 8) if big else ("I", "H", 12, 4))
+    table, extra, room = b"", b"", at + struct.calcsize("<" + head) + entry * len(entries) + inline
+    for tag, v in sorted(entries.items()):
+        raw = struct.pack(f"<{len(v)}{word}", *v)
+        if len(raw) > inline:
+            raw, extra = struct.pack("<" + word, room + len(extra)), extra + raw
+        table += struct.pack("<HH" + word, tag, 16 if big else 4, len(v)) + raw
+    first = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
+    return first + b"".join(blocks) + struct.pack("<" + head, len(entries)) + table + bytes(inline) + extra
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773, 50000])
+def test_tiff_forms(packing):
+    r = np.random.default_rng(packing)
+    ground = np.cumsum(r.integers(-3, 4, (150, 70)), axis=1)
+    for kind, predictor in (("<f4", 3), ("<f8", 3), ("<i2", 2), ("<u2", 1), ("<f8", 1), ("<i4", 2)):
+        v = ground / 4 if "f" in kind else np.abs(ground)
+        for form in ({}, {"tile": (32, 16)}, {"strip": 40}, {"big": True, "tile": (64, 64)}, {"big": True, "strip": 7}):
+            got = pixels.read_tiff(packed(v, kind, packing, predictor, **form))["values"]
+            assert got.shape == v.shape and (got == v).all(), (kind, predictor, form)
+
+
 def test_stack_checks(spark, stack):
     from orrery.sources.manifest import layers_frame
 
