@@ -260,6 +260,32 @@ def test_ring_evidence_equals_the_kernel(spark):
     assert np.allclose((got["annulus_contrast"], got["ringness_score"]), kernel.ring_evidence(image, mask))
 
 
+def test_merge_detections_against_all_pairs(spark):
+    """Random detections of several fields, merged in order, against cell-by-cell distances."""
+    r = np.random.default_rng(4)
+    cells, shapes = [], {}
+    for f in range(4):
+        for d in range(25):
+            y, x = r.integers(0, 90, 2)
+            own = {(int(y + a), int(x + b)) for a, b in r.integers(0, 4, (6, 2))}
+            shapes[f, d] = own
+            cells += [(f"f{f}", d, (d * 7) % 25, a, b) for a, b in own]
+    far = lambda p, q: min(np.hypot(max(abs(a - c) - 1, 0), max(abs(b - e) - 1, 0)) * 10 for a, b in p for c, e in q)
+    want = {}
+    for f in range(4):
+        turn = sorted(range(25), key=lambda d: (d * 7) % 25)
+        for k, first in enumerate(turn):
+            if (f"f{f}", first) in want:
+                continue
+            want[f"f{f}", first], grown = first, set(shapes[f, first])
+            for d in turn[k + 1 :]:
+                if (f"f{f}", d) not in want and far(grown, shapes[f, d]) <= 45:
+                    want[f"f{f}", d] = first
+                    grown |= shapes[f, d]
+    got = segment.merge_detections(frame(spark, cells, "f string, detection int, turn int, row int, col int"), "f", "detection", "turn", 10.0, 45.0).collect()
+    assert {(x["f"], x["detection"]): x["merged"] for x in got} == want and len(got) == 100 and 4 < len(set(want.items())) and any(d != m for (_, d), m in want.items())
+
+
 def test_merge_detections(spark):
     rows = [("f", "d1", 0, 0), ("f", "d2", 0, 3), ("f", "d3", 0, 9), ("g", "d4", 0, 1)]
     got = {r["detection"]: r["merged"] for r in segment.merge_detections(frame(spark, rows, "f string, detection string, row int, col int").withColumn("o", F.col("detection")), "f", "detection", "o", 10.0, 20.0).collect()}
