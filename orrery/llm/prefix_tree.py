@@ -247,15 +247,20 @@ def _bitmap(rows: DataFrame, column: str, size: int):
     return rows.sparkSession.sparkContext.broadcast(bits)
 
 
-def _maybe_in(rows: DataFrame, column: str, bits_of, size: int) -> DataFrame:
-    """Rows whose value may be in the map. Only the places go through Python."""
+def _there(bits_of):
+    """Whether the bit at a place of the map is set, as a function of columns. Only the places go through Python."""
 
     @F.pandas_udf("boolean")
     def there(at: pd.Series) -> pd.Series:
         bits, at = bits_of.value, at.to_numpy(dtype=np.int64)
         return pd.Series(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
 
-    return rows.where(there(_spot(column, size) - 1))
+    return there
+
+
+def _maybe_in(rows: DataFrame, column: str, bits_of, size: int) -> DataFrame:
+    """Rows whose value may be in the map."""
+    return rows.where(_there(bits_of)(_spot(column, size) - 1))
 
 
 def _tested(levels_of):
@@ -454,15 +459,20 @@ def _signed(pairs: DataFrame, about: DataFrame) -> DataFrame:
     return both.select("centre", "fp", "x_n", "x_wide", "y_n", "y_wide").mapInArrow(run, "centre long, fp long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, levels_of) -> DataFrame:
-    """Distinct (centre, fp) pairs -> those that link."""
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, again: DataFrame, levels_of) -> DataFrame:
+    """Distinct (centre, fp) pairs -> those that link. again: ids on several rows."""
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / CHUNK).cast("int")
     members = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.lit(1).alias("is_member"), "fp")
     centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("is_member"), F.col("centre").alias("fp"))
     asked = staged(members.unionByName(centres).join(reps, "fp"), "asked")
-    texts = _maybe_in(docs.select("doc_id", "text"), "doc_id", _bitmap(asked, "doc_id", WANTED_BITS), WANTED_BITS).withColumnRenamed("doc_id", "t_id")
-    rows = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id"))).select("centre", "part", "is_member", "fp", "text")
+    named = asked.where("doc_id is not null")
+    texts = _maybe_in(docs.select("doc_id", "text"), "doc_id", _bitmap(named, "doc_id", WANTED_BITS), WANTED_BITS).withColumnRenamed("doc_id", "t_id")
+    rows = named.join(texts, F.col("doc_id") == F.col("t_id")).select("centre", "part", "is_member", "fp", "text")
+    if asked.where("doc_id is null").limit(1).count():
+        odd = docs.select("doc_id", "text").where("doc_id is null").unionByName(docs.select("doc_id", "text").join(again, F.col("doc_id") == F.col("again"), "left_semi"))
+        odd = _printed(odd).groupBy("__fp").agg(F.min("text").alias("text"))
+        rows = rows.unionByName(asked.where("doc_id is null").join(odd, F.col("fp") == F.col("__fp")).select("centre", "part", "is_member", "fp", "text"))
     dealt = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member", "fp")
     found = staged(dealt.mapInArrow(_tested(levels_of), "a long, b long"), "tested")
     discard(asked)
@@ -493,7 +503,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = staged(_maybe_in(postings, "token", _bitmap(several, "token", SHARED_BITS), SHARED_BITS).join(several, "token").dropDuplicates(["token", "fp"]), "shared")
     discard(postings)
     reclaim(spark)
-    about = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), *[F.min(c).alias(c) for c in (*SIGNS, "wide")])
+    # A set's text is found by an id that stands on one row; sets without such an id are found by their own rows' sets.
+    again = staged(members.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again")), "again")
+    once = members.where("n_shingles > 0").join(again, F.col("doc_id") == F.col("again"), "left").withColumn("own", F.when(F.col("again").isNull(), F.col("doc_id")))
+    about = once.groupBy("fp").agg(F.min("own").alias("doc_id"), F.min("n_shingles").alias("n"), *[F.min(c).alias(c) for c in (*SIGNS, "wide")])
     about = staged(about.join(shared.select("fp").distinct(), "fp"), "reps")
     reps = about.select("fp", "doc_id")
 
@@ -506,7 +519,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         asked = pairs.count()
         if not asked:
             break
-        found = _verified(pairs, reps, docs, levels_of)
+        found = _verified(pairs, reps, docs, again, levels_of)
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
         if found.count() * 5 < asked:  # what is left is not one family
@@ -515,7 +528,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = staged(_many_pairs(_open(crowded, comps, centred=False), about), "many")
     pairs = staged(few.unionByName(many).distinct(), "pairs")
     if pairs.limit(1).count():
-        found = _verified(pairs, reps, docs, levels_of)
+        found = _verified(pairs, reps, docs, again, levels_of)
         comps = connected_components(found if links is None else links.unionByName(found))
     levels_of.unpersist()
     sets = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(comps, F.col("fp") == F.col("id"), "left")
@@ -553,7 +566,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again"))
     heads = staged(heads.join(several, F.col("h_id") == F.col("again"), "left"), "heads")
     reclaim(spark)
-    kept = docs.where(worded).join(heads.where("h_id is not null and again is null").select("h_id"), F.col("doc_id") == F.col("h_id")).drop("h_id").unionByName(docs.where(~worded))
+    ids = rows.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    gone = staged(ids.join(heads.where("h_id is not null and again is null"), F.col("gone") == F.col("h_id"), "left_anti"), "gone")
+    # The map of ids that go tells most rows that stay; only the others' texts are dealt by id.
+    some = docs.where(worded & F.col("doc_id").isNotNull())
+    maybe = _there(_bitmap(gone, "gone", SHARED_BITS))(_spot("doc_id", SHARED_BITS) - 1)
+    kept = some.where(~maybe).unionByName(some.where(maybe).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")).unionByName(docs.where(~worded))
     odd = heads.where("h_id is null or again is not null")
     if not odd.limit(1).count():
         return kept
