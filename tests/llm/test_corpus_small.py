@@ -77,13 +77,25 @@ def test_language_never_reads_labels(docs):
 
 
 def test_bundle_equals_sum_of_bound_letters():
-    letters = hyperlang._letter_vectors()
-    text = "Abba cab"
-    slots = hyperlang._slots()
-    s = [0, *(int(slots[ord(c)]) for c in text.lower()), 0]
-    want = sum(letters[0][a].astype(int) * letters[1][b] * letters[2][c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+    text = "Abb\u00e4 cab \u4f60\U00020000\u0461"
+    s = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    own = {p: hyperlang.letter_vectors(np.array([p]))[0].astype(int) for p in s}
+    want = sum(np.roll(own[a], 2) * np.roll(own[b], 1) * own[c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
     got = hyperlang.bundles([text])[0]
     assert np.allclose(got, want / np.linalg.norm(want), atol=1e-6)
+    vectors = hyperlang.letter_vectors(np.arange(3000)).astype(np.float32)
+    cosines = vectors @ vectors.T / hyperlang.DIMS - np.eye(3000)
+    assert set(np.unique(vectors)) == {-1, 1} and abs(cosines).max() < 0.25  # no two letters alike
+
+
+def test_known_languages_stay_and_junk_goes(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    noise = random.Random(6)
+    junk = [(10_000_000 + i, " ".join("".join(noise.choice("qxzjkvwpybcdfgh") for _ in range(7)) for _ in range(n)), None, "j", 1) for i, n in enumerate([40, 200, 1000, 3000])]
+    other = [(20_000_000, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 30, None, "j", 1)]
+    kept = {r["doc_id"] for r in hyperlang.in_known_language(rows.unionByName(spark.createDataFrame(junk + other, DOCS).withColumn("n_chars", F.col("n_chars").cast("long")))).select("doc_id").collect()}
+    lettered = {r["doc_id"] for r in rows.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    assert not kept & {r[0] for r in junk + other} and len(lettered - kept) <= 0.01 * len(lettered)
 
 
 def test_language_slices(monkeypatch):
@@ -138,6 +150,30 @@ def test_bpe_hard_strings(tik):
     assert [list(x) for x in codec.encode(texts)] == [tik.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_long_pieces(tik):
+    """Pieces without a cut: letters, base64, runs, unspaced scripts, glued words."""
+    import base64
+    import time
+
+    codec = bpe.Codec(bpe.tables(bpe.read_ranks(bpe.tokenizer_path("byte_bpe_50k.tiktoken"))), bpe_pattern())
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (30_000, 100_000)]
+    texts += [base64.b64encode(r.randbytes(40_000)).decode(), "x" * 30_000, "=" * 20_001, " " * 5_000, "ab" * 10_000, "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(8_000))]
+    texts += ["".join(r.choice(["the", "ing", "ation", "x", "qq", "er"]) for _ in range(9_000)), "".join("a" * r.randint(1, 90) + "b" for _ in range(300))]
+    texts += ["".join(r.choice(["a", "aa", "th", "e", " ", "ing", "=", "\n", "\u00e9", "\u4e16", "0"]) * r.choice([1, 1, 30, 77]) for _ in range(20)) for _ in range(60)]
+    began = time.time()
+    got = codec.encode(texts)
+    assert [x.tolist() for x in got] == [tik.encode_ordinary(t) for t in texts]
+    assert codec.decode(got) == [t.encode() for t in texts] and time.time() - began < 60
+    codec.close()
+
+
+def bpe_pattern():
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def test_cuts_fall_between_matches(tik):
     import public_tokenizers
     import regex
@@ -187,6 +223,67 @@ def test_jaccard_families(spark):
     assert got == brute_components(given)
 
 
+def test_jaccard_without_usable_ids(spark):
+    """Missing and repeated ids: classes are those of the texts; exactly one fixed row of each stays."""
+    r = random.Random(3)
+    base = [prose(900 + i, 60) for i in range(6)]
+    near = [t.rsplit(" ", 2)[0] + " changed" for t in base]
+    rows = [(None, t, "en", "s", i) for i, t in enumerate(base + near)] * 3 + [(5, t, "en", "s", 9) for t in base[:3]] + [(8, near[0], "en", "s", 1), (9, prose(990, 50), "en", "s", 1), (9, prose(991, 50), "en", "s", 1), (9, prose(991, 50), "en", "s", 2)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, DOCS)
+    got = prefix_tree.jaccard_components(frame).collect()
+    ids = {}
+    for i, t, *_ in rows:
+        ids.setdefault(t[:40], set()).add(i)
+    assert len(got) == len(rows)
+    assert sorted((x["component_id"] is None, x["component_id"] or 0) for x in got) == sorted((not (k := {i for i in ids[t[:40]] if i is not None}), min(k, default=0)) for _, t, *_ in rows)
+    kept = [prefix_tree.one_of_each(frame.repartition(k)).collect() for k in (1, 5)]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+    assert sorted(x["text"][:40] for x in kept[0]) == sorted(ids)
+
+
+def test_frequent_shingles_come_last():
+    """No frequent shingle is among the first ones while rare ones are there, wherever its hash lies."""
+    r = np.random.default_rng(5)
+    tokens = np.unique(r.integers(0, 1 << 64, 400, dtype=np.uint64))
+    hot = r.choice(len(tokens), 300, replace=False)
+    levels = np.zeros(1 << prefix_tree.SKETCH_BITS, dtype=np.uint8)
+    levels[tokens[hot] >> np.uint64(64 - prefix_tree.SKETCH_BITS)] = 9
+    first = prefix_tree.ordered(tokens, levels)[: prefix_tree.prefix_length(len(tokens))]
+    assert not set(first.tolist()) & set(tokens[hot].tolist()) and len(first) == 81
+
+
+def test_jaccard_hot_passage(spark, monkeypatch):
+    """Many members at shared shingles, a family of near copies, groups dealt in blocks: as brute force."""
+    monkeypatch.setattr(prefix_tree, "HELD", 24)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(260):
+        own = [word() for _ in range(r.choice([6, 12, 16, 40]))]
+        rows.append((i, " ".join(own + passage) if i % 2 else " ".join(passage + own)))
+    seed = [word() for _ in range(80)]
+    for i in range(260, 420):
+        copy = list(seed)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            copy[r.randrange(80)] = word()
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in prefix_tree.jaccard_components(frame).collect()}
+    assert got == {d: (n, c) for d, n, c in brute_components(rows)}
+
+
+def test_path_tree_tells_who_meets_first():
+    r = np.random.default_rng(6)
+    paths = [np.unique(r.integers(0, 30, r.integers(0, 6))) for _ in range(60)]
+    tree = prefix_tree.PathTree(paths)
+    apart = tree.apart(step=7)
+    for i, a in enumerate(paths):
+        for j, b in enumerate(paths):
+            assert apart[tree.node[i], tree.node[j]] == (len(np.intersect1d(a, b)) == 0)
+
+
 def test_tree_traversal_equals_counting():
     r = np.random.default_rng(4)
     for _ in range(60):
@@ -225,17 +322,70 @@ def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("password") < cost("password1") < cost("x9$Kq2!vZp")
     assert cost("qwertyuiop") < 6 and cost("19990101") < 6 and cost("aaaaaaaaaaaa") < 4 and cost("abcabcabcabc") < 8
-    assert cost("") == 0 and cost("Zk3" * 100) > 0 and cost("T9x!" + "q8Z#" * 100) > 30
+    assert cost("") == 0
+    for run in ("*", "-", "=", "abc", "!%"):  # a run stays one, however long
+        assert cost(run * 2000) < cost(run * 20) + 2.1 < 12
+    assert cost("Zk3" * 100) < 10 < 30 < cost("T9x!" + "q8Z#" * 3 + "Lm2$kP0_vW")
+    assert cost("correcthorsebatterystaple", secrets.ranks_of(["horse", "correct", "battery", "staple"])) < 12 < cost("c0rkqvhx7rsebqttzrystxplw")
     extra = secrets.all_spans("passphrase: v9$Kq2!vZpL8@w and passphrase: password", [])
     assert [k for _, k, _ in extra] == [3]
-    url = "see https://me:Zp9$kQ2vLw8x@host/ now"
-    assert [url[s:e] for s, _, e in secrets.all_spans(url, [])] == ["Zp9$kQ2vLw8x"]
+    for host in ("me", "", "m" * 70):
+        url = f"see https://{host}:Zp9$kQ2vLw8x@host/ now"
+        assert [url[s:e] for s, _, e in secrets.all_spans(url, [])] == ["Zp9$kQ2vLw8x"]
+
+
+def test_secret_contexts():
+    v = "v9$Kq2!vZpL8@w"
+    for text in (f"Authorization: Bearer {v}.", f"pwd={v}", f'"passphrase" : "{v}"', f"<pwd>{v}</pwd>", f"auth => '{v}'", f"private-key: {v}, next", f"credentials:={v}!!", f'password: "{v}"'):
+        assert [(text[s:e], k) for s, k, e in secrets.all_spans(text, secrets.base_spans(text))] == [(v, 3)], text
+    for text in ("auth: " + "~" * 1000, "pwd: qwertyuiop", "passcode: 19990101", "passphrase: sunshine", "</pwd>" + v, "author: " + v):
+        assert secrets.all_spans(text, secrets.base_spans(text)) == []
+    # what touches a base span is not told again
+    for text in ('TOKEN = "92337af3aa329B"!!', 'password: "abcdefgh' + v + '"', "secret=abcdefgh!" + v, "token: " + "0af" * 12 + "!?"):
+        base = secrets.base_spans(text)
+        assert base and secrets.all_spans(text, base) == base
+
+
+def test_guess_cost_is_the_minimum_of_all_cuts():
+    """Against every cut of short values, with the cost of each piece found on its own."""
+    r, ranks = random.Random(11), secrets.ranks_of(["abc", "zeb", "ra"])
+
+    def walk(v):
+        ways = [secrets.step(a, b) for a, b in zip(v.lower(), v.lower()[1:], strict=False)]
+        return secrets.WALK + secrets.TURN * sum(a != b for a, b in zip(ways, ways[1:], strict=False)) if len(v) >= 3 and None not in ways else float("inf")
+
+    for _ in range(150):
+        value = "".join(r.choice(["a", "b", "abc", "1", "Q", "!", "qwe", "pass", "2001", "ra", "11", "%"]) for _ in range(r.randint(1, 6)))[:11]
+        known = {}
+        for i, j, c in secrets.pieces(value, ranks):
+            known[i, j] = min(c, known.get((i, j), float("inf")))
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + secrets.PIECE + min(secrets.brute(value[i:j]), walk(value[i:j]), known.get((i, j), float("inf"))) for i in range(j)))
+        assert abs(secrets.guess_cost(value, ranks) - best[-1]) < 1e-9, value
+
+
+def test_guess_cost_of_long_values():
+    import time
+
+    r = random.Random(5)
+    value = "".join(r.choice("abcXYZ019!$-") for _ in range(20_000))
+    began = time.time()
+    assert secrets.guess_cost(value) > 10_000 and secrets.guess_cost("x" * 20_000) < 7
+    assert time.time() - began < 20
+
+
+def test_ranked_words(spark, docs, empty):
+    rows = spark.createDataFrame([(1, "zebra Zebra apple, apple apple ox", None, None, 1), (2, None, None, None, None), (3, "pear zebra\nzebra", None, None, 1)], DOCS)
+    assert secrets.ranked_words(rows) == ["zebra", "apple", "pear"] and secrets.ranked_words(rows, 2) == ["zebra", "apple"]
+    assert secrets.ranked_words(empty) == []
 
 
 def test_secret_scan_cases(spark, docs, empty):
     more = spark.createDataFrame([(900, 'a password="q1w2e3r4t5y6" b', None, None, 1), (901, None, None, None, None)], DOCS)
     got = {r["doc_id"]: r for r in secrets.scan(docs.unionByName(more)).collect()}
     assert got[900]["n_assign"] == 1 and got[900]["spans"] == 'assign:2:24'
+    assert got[900]["costs"] == f"assign:2:{secrets.guess_cost('q1w2e3r4t5y6', secrets.ranks_of(secrets.ranked_words(docs.unionByName(more)))):.2f}"
     assert got[901]["spans"] == "" and got[901]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.scan(empty).count() == 0
     clean = {r["doc_id"]: r for r in secrets.redacted(docs.unionByName(more)).collect()}
@@ -296,12 +446,76 @@ def test_base_counts():
         assert perplexity.base_counts(text) == brute_base(text)
 
 
-def test_kneser_ney_sums_to_one():
-    codes = np.concatenate(list(perplexity.sequences(prose(3, 400))))
-    model = perplexity.Model(*np.unique(codes, return_counts=True))
-    for context in (0, int(codes[50]) >> 6, int(codes[99]) >> 6, (63 << 12) | (62 << 6) | 61):
-        p = np.exp(model.log_p((np.int64(context) << 6) | np.arange(64)))
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over four symbols, with dictionaries. -> log p of each sequence of four, and the whole model."""
+    from collections import Counter
+    from math import log
+
+    grams = Counter()
+    for t in texts:
+        s = [0, 0, 0, *(ord(c) + 1 for c in t)]
+        grams.update(tuple(s[i : i + 4]) for i in range(len(t)))
+    levels = {4: grams}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    below = {(): 1.0 / len(levels[1])}
+    for k in (1, 2, 3, 4):
+        n = levels[k]
+        t = [sum(v == i for v in n.values()) for i in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] and t[1] else 0.5
+        d = [0.0] + [min(max(i - (i + 1) * y * t[i] / t[i - 1], 0.05), i - 0.05) if t[i - 1] and t[i] else 0.5 * min(i, 1.5) for i in (1, 2, 3)]
+        total, took = Counter(), Counter()
+        for g, v in n.items():
+            total[g[:-1]] += v
+            took[g[:-1]] += d[min(v, 3)]
+        below = {g: (v - d[min(v, 3)]) / total[g[:-1]] + took[g[:-1]] / total[g[:-1]] * below[g[1:]] for g, v in n.items()}
+    return {g: log(p) for g, p in below.items()}
+
+
+def test_kneser_ney_equals_brute_force(spark, empty):
+    texts = {"en": [prose(3, 200), prose(4, 100), "aa"], "": ["\u4f60\u597d\u4e16\u754c " * 5 + "\U0001f600 \u4f60\u597d", "привет мир " * 4]}
+    frame = spark.createDataFrame([(i, t, lang or None, "s", 1) for lang, ts in texts.items() for i, t in enumerate([*ts, None, ""])], DOCS)
+    got = perplexity.model(frame).collect()
+    want = {lang: brute_kneser_ney(ts) for lang, ts in texts.items()}
+    assert len(got) == sum(map(len, want.values()))
+    one = (1 << 21) - 1
+    for r in got:
+        g = (r["x"] >> 21, r["x"] & one, r["y"] >> 21, r["y"] & one)
+        assert abs(want[r["lang"]][g] - r["log_p"]) < 1e-9
+    assert perplexity.model(empty).count() == 0
+
+
+def test_perplexity_by_core_and_join(spark, monkeypatch):
+    """What is not in the core is joined: the verdicts stay, however little is in it."""
+    rows = [(i, prose(50 + i, 120), "en" if i % 3 else None, "s", 1) for i in range(20)] + [(90, None, "en", "s", 1), (91, "\u4e16\u754c" * 30, "zh", "s", 1), (91, "\u4e16\u754c" * 30, "zh", "s", 1)]
+    frame = spark.createDataFrame(rows, DOCS)
+    key = lambda df: sorted((r["doc_id"], r["kept"], round(r["perplexity"] or 0, 6), round(r["lower_band"] or 0, 6)) for r in df.collect())
+    whole = key(perplexity.judged(frame))
+    want = {lang: brute_kneser_ney([t for _, t, x, _, _ in rows if t and (x or "") == lang]) for lang in ("en", "", "zh")}
+    for i, t, lang, _, _ in rows:
+        if t:
+            s = [0, 0, 0, *(ord(c) + 1 for c in t)]
+            ppl = np.exp(-np.mean([want[lang or ""][tuple(s[k : k + 4])] for k in range(len(t))]))
+            assert any(d == i and abs(p - ppl) < 1e-4 for d, _, p, _ in whole)
+    for core in (0, 40, 900):
+        monkeypatch.setattr(perplexity, "CORE", core)
+        assert key(perplexity.judged(frame)) == whole
+
+
+def test_distinct_sequences_of_many_symbols():
+    r = random.Random(4)
+    text = "".join(chr(r.randint(0x4E00, 0x4E00 + 60_000)) for _ in range(90_000)).replace("\ud800", "")
+    text = "".join(c for c in text if not 0xD800 <= ord(c) < 0xE000)
+    s = np.concatenate(list(perplexity.symbols(text)))
+    x, y, n = perplexity._distinct([s])
+    got = {}
+    for key, k in zip(zip(x.tolist(), y.tolist(), strict=True), n.tolist(), strict=True):
+        got[key] = got.get(key, 0) + k
+    a, b = perplexity.halves(s)
+    want = {}
+    for key in zip(a.tolist(), b.tolist(), strict=True):
+        want[key] = want.get(key, 0) + 1
+    assert got == want and sum(want.values()) == len(text)
 
 
 def test_perplexity_verdicts(spark, docs, empty):
@@ -318,9 +532,10 @@ def test_perplexity_verdicts(spark, docs, empty):
 
 def test_perplexity_slices(monkeypatch):
     text = prose(8, 300)
-    whole = np.concatenate(list(perplexity.sequences(text)))
+    whole = [np.concatenate(h) for h in zip(*(perplexity.halves(s) for s in perplexity.symbols(text)), strict=True)]
     monkeypatch.setattr(perplexity, "SLICE", 29)
-    assert (whole == np.concatenate(list(perplexity.sequences(text)))).all()
+    parts = [np.concatenate(h) for h in zip(*(perplexity.halves(s) for s in perplexity.symbols(text)), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(whole[0]) == len(text)
 
 
 # toxicity -------------------------------------------------------------------------------
@@ -355,6 +570,45 @@ def test_toxicity_learns_and_is_fair(spark):
     assert toxicity.train(docs, nothing).score("x") == 0.5
 
 
+def test_toxicity_fit_is_the_minimum_of_its_loss():
+    """The fitted weights against the loss written out: moving any of them, or the bias, makes it larger (by a little, it may fall by a hundredth: the steps are limited)."""
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(8)]
+    features = [sorted(set(r.integers(0, 8, 3).tolist())) for _ in range(120)]
+    labels = np.array([float(0 in f and r.random() < 0.9) for f in features])
+    swaps = [[1, 2] if 1 in f and 2 not in f else [] for f in features]
+    model = toxicity.fit(features, swaps, labels, words, ridge=0.5, fairness=5.0)
+    heavy = ((len(labels) - labels.sum()) / labels.sum()) ** toxicity.BALANCE
+
+    def loss(w, bias):
+        total = 0.5 * 0.5 * (w**2).sum()
+        for f, s, y in zip(features, swaps, labels, strict=True):
+            z = bias + w[f].sum()
+            total += (heavy if y else 1.0) * (np.log1p(np.exp(z)) - y * z)
+            total += sum(5.0 * (w[a] - w[b]) ** 2 for a, b in zip(s[::2], s[1::2], strict=True))
+        return total
+
+    w = np.array([model.weights.get(x, 0.0) for x in words])
+    least = loss(w, model.bias)
+    for k in range(8):
+        for d in (-0.5, 0.5):
+            assert loss(w + d * np.eye(8)[k], model.bias) > least
+            assert loss(w + d / 5 * np.eye(8)[k], model.bias) > 0.99 * least
+    assert min(loss(w, model.bias - 0.5), loss(w, model.bias + 0.5)) > least and w[0] == w.max()
+
+
+def test_toxicity_cases(spark):
+    rows, labels = toxic_rows(150)
+    again = rows + [rows[0]] * 40 + [(rows[0][0], "another text of the same id", "en", "s", 1), (9_000, None, None, None, None), (9_001, "", "en", "s", 0), (9_002, "kind words " * 60_000, "en", "s", 1)]
+    docs, marks = spark.createDataFrame(again, DOCS), spark.createDataFrame([*labels, (None, 1, 1), (rows[1][0], 0, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, marks)).collect()
+    assert len(got) == len(again) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (9_000, 9_001)}) == 1
+    none = docs.where("false")
+    assert toxicity.score(none, toxicity.train(none, marks)).count() == 0
+    assert {r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, marks.where("false"))).collect()} <= {0, 1}
+
+
 # WARC -----------------------------------------------------------------------------------
 
 
@@ -420,6 +674,37 @@ def test_nearest_recall(spark):
     assert len(got) == total and hits / total >= 0.9
 
 
+def test_nearest_lists_are_full(spark):
+    """A query whose own cell holds fewer than ten vectors visits the others too."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(1500, 8)), 100 + 0.01 * r.normal(size=(3, 8))])
+    ids = [*range(1, 1501), 2000, 2001, 2002]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = nearest.search(frame, probes=1).toPandas()
+    counts = got.groupby("query_id").size()
+    assert set(counts) == {10} and len(counts) == 16
+    far = got[got.query_id == 2000].sort_values("rank")
+    d = np.sqrt(((x - x[1500]) ** 2).sum(axis=1))
+    assert far.vec_id.tolist()[:2] == [ids[k] for k in np.argsort(d)[1:3]] and np.allclose(far.score.iloc[:2], np.sort(d)[1:3])
+
+
+def test_nearest_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "COARSE", 8)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(40, 12))[r.integers(0, 40, 5000)] + 0.3 * r.normal(size=(5000, 12))
+    index = nearest.Index(x, 35)
+    assert len(index.coarse) == 8 and len(index.fine) == 5 and len(index.centres) == 40
+    cell = index.cells(x)
+    assert cell.max() < 40 and len(np.unique(cell)) > 20
+    got = nearest.search(spark.createDataFrame([(i, x[i].tolist()) for i in range(5000)], "vec_id long, embedding array<double>")).toPandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & set(part.vec_id))
+    assert len(got) == 500 and hits / 500 >= 0.9
+
+
 def test_visits_follow_the_data():
     """Vectors without structure need many cells, tight groups few."""
     r = np.random.default_rng(11)
