@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from orrery.functions import polygons
 
 GUARD = "A ranked surface anomaly candidate for expert review. It does not detect hydrogen and proves no degassing without expert and field validation."
+# The columns of a passport's sections.
 _SECTIONS = {
     "Identity": ("candidate_id", "rank", "priority_class", "evidence_class", "passport_path"),
     "Score": ("object_score", "static_score", "dynamic_score", "dominant_evidence"),
@@ -103,15 +104,33 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def quicklook(values: np.ndarray, cells: np.ndarray, padding: int = 5, zoom: int = 8) -> bytes:
-    """The composite around an object, its cells framed, as PNG. values: a window that starts at row and column 0 of cells."""
+def _edges(labels: np.ndarray, zoom: int) -> np.ndarray:
+    """Pixels of the zoomed picture along the sides where neighbouring cells' labels differ."""
+    out = np.zeros((labels.shape[0] * zoom, labels.shape[1] * zoom), dtype=bool)
+    for r, c in zip(*np.nonzero(labels[1:] != labels[:-1]), strict=True):
+        out[(r + 1) * zoom - 1 : (r + 1) * zoom + 1, c * zoom : (c + 1) * zoom] = True
+    for r, c in zip(*np.nonzero(labels[:, 1:] != labels[:, :-1]), strict=True):
+        out[r * zoom : (r + 1) * zoom, (c + 1) * zoom - 1 : (c + 1) * zoom + 1] = True
+    return out
+
+
+def quicklook(values: np.ndarray, cells: np.ndarray, padding: int = 5, zoom: int = 8, zones: np.ndarray | None = None) -> bytes:
+    """The composite around an object as PNG, with the outlines of the object (red) and of the fields (yellow).
+
+    values and zones (a number for each field, 0 outside): a window that starts
+    at row and column 0 of cells.
+    """
     r0, c0 = np.maximum(cells.min(axis=0) - padding, 0)
     r1, c1 = np.minimum(cells.max(axis=0) + padding + 1, values.shape)
     part = values[r0:r1, c0:c1]
     known = part[np.isfinite(part)]
     low, high = (float(known.min()), float(known.max())) if len(known) else (0.0, 1.0)
     grey = np.where(np.isfinite(part), 40 + 215 * (np.nan_to_num(part) - low) / max(high - low, 1e-9), 0)
-    image = np.repeat(grey[..., None], 3, axis=2)
+    own = np.zeros(part.shape, dtype=int)
     for r, c in cells - [r0, c0]:
-        image[r, c, 0], image[r, c, 1:] = min(255, image[r, c, 0] + 60), image[r, c, 1:] * 0.6
-    return png(np.kron(image, np.ones((zoom, zoom, 1))))
+        own[r, c] = 1
+    image = np.kron(np.repeat(grey[..., None], 3, axis=2), np.ones((zoom, zoom, 1)))
+    if zones is not None:
+        image[_edges(zones[r0:r1, c0:c1], zoom)] = (240, 210, 40)
+    image[_edges(own, zoom)] = (230, 30, 30)
+    return png(image)

@@ -392,9 +392,11 @@ def _quicklooks(result: Run, top: DataFrame, folder: Path, padding: int = 5) ->
         (r0, c0), (r1, c1) = np.maximum(cells.min(axis=0) - padding, 0), cells.max(axis=0) + padding
         near = reduce(lambda a, b: a & b, (F.col("row").between(int(r0), int(r1)), F.col("col").between(int(c0), int(c1))))
         window = np.full((r1 - r0 + 1, c1 - c0 + 1), np.nan)
+        fields, numbers = np.zeros(window.shape, dtype=int), {}
         for p in result.composite.where(near).collect():
             window[p["row"] - r0, p["col"] - c0] = np.nan if p["value"] is None else p["value"]
-        (folder / f"{reports.safe_stems([r['candidate_id']])[0]}.png").write_bytes(reports.quicklook(window, cells - [r0, c0], padding))
+            fields[p["row"] - r0, p["col"] - c0] = numbers.setdefault(p["zone"], len(numbers) + 1)
+        (folder / f"{reports.safe_stems([r['candidate_id']])[0]}.png").write_bytes(reports.quicklook(window, cells - [r0, c0], padding, zones=fields))
 
 
 def static_candidates(spark: SparkSession, path: str, config: RunConfig, out: str | Path) -> dict[str, Path]:
