@@ -1,7 +1,7 @@
 """Operator 1: language ID by hyperdimensional profiles.
 
-Every letter has a fixed random vector of +1 and -1 (made from its code point
-by a rule, so any script works). A trigram's vector is the product of its
+Every letter has a fixed random vector of +1 and -1 (bits of a
+hash of its code point, so every letter of any script has its own). A trigram's vector is the product of its
 letters' vectors, the first permuted twice and the second once (binding); a
 document is the sum of its trigrams' vectors (bundling); a language is the sum
 of its training documents' unit vectors. The language whose prototype has the
@@ -37,43 +37,50 @@ SLICE, ROWS, VECTORS = 1 << 20, 256, 4096
 #: Prototypes are summed as whole numbers, so that the order of sums doesn't matter.
 SCALE = 1_000_000
 UNKNOWN = "und"
-_ALPHABET = 1 << 10
+#: A document must reach this share of the low quantile of learned scores for its language and length.
+SHARE, QUANTILE = 0.3, 0.01
+#: Two standard deviations of the cosine of unrelated vectors: texts of any length must reach it.
+NOISE = 2 / DIMS**0.5
+_BITS = 21
+_ONE = (1 << _BITS) - 1
 _fixed: dict[str, np.ndarray] = {}
 
 
-def _letter_vectors() -> np.ndarray:
-    """Vectors of 1,024 letter slots: code point modulo the slots (0, the space, has its own). Three permutations."""
-    if "letters" not in _fixed:
-        base = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2, size=(_ALPHABET, DIMS), dtype=np.int8) * np.int8(2) - np.int8(1)
-        _fixed["letters"] = np.stack([np.roll(base, k, axis=1) for k in (2, 1, 0)])
-    return _fixed["letters"]
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A vector of +1 and -1 for each code point (0 is the space): the bits of hashes of code point and place, so no table is needed."""
+    words = DIMS // 64
+    h = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int8) * np.int8(2) - np.int8(1)
 
 
-def _slots() -> np.ndarray:
-    """Slot of each code point: 0 for anything but letters."""
-    if "slots" not in _fixed:
+def _letters() -> np.ndarray:
+    """Each code point itself if it is a letter, else 0."""
+    if "letters" not in _fixed:
         points = np.zeros(0x110000, dtype=np.int32)
         for c in range(0x110000):
             if chr(c).isalpha():
-                points[c] = 1 + c % (_ALPHABET - 1)
-        _fixed["slots"] = points
-    return _fixed["slots"]
+                points[c] = c
+        _fixed["letters"] = points
+    return _fixed["letters"]
 
 
 def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the letter trigrams of a whole text, slice by slice."""
+    """Codes (three code points of 21 bits) and counts of the letter trigrams of a whole text, slice by slice."""
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    slots, parts, carry = _slots(), [], np.zeros(1, dtype=np.int64)
+    letters, parts, carry = _letters(), [], np.zeros(1, dtype=np.int64)
     for at in range(0, len(text), SLICE):
         piece = text[at : at + SLICE].lower()
-        s = slots[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        s = letters[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
         if at + SLICE >= len(text):
             s = np.append(s, 0)
         s = np.concatenate([carry, s])
         s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]  # one space for each run
         if len(s) > 2:
-            codes = (s[:-2] * _ALPHABET + s[1:-1]) * _ALPHABET + s[2:]
+            codes = (s[:-2] << 2 * _BITS) | (s[1:-1] << _BITS) | s[2:]
             parts.append(np.unique(codes, return_counts=True))
         carry = s[-2:]
     if not parts:
@@ -84,9 +91,18 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
+def gram_vectors(codes: np.ndarray) -> np.ndarray:
+    """Bound vectors of trigrams: their letters' vectors, permuted by place, multiplied."""
+    out = None
+    for place in (2, 1, 0):
+        points, at = np.unique((codes >> place * _BITS) & _ONE, return_inverse=True)
+        own = np.roll(letter_vectors(points), place, axis=1)[at]
+        out = own if out is None else out * own
+    return out
+
+
 def bundles(texts: list[str | None]) -> np.ndarray:
     """One unit vector for each text; zeros without a trigram that has a letter."""
-    letters = _letter_vectors()
     out = np.zeros((len(texts), DIMS), dtype=np.float32)
     found = [trigram_counts(t) for t in texts]
     if sum(len(c) for c, _ in found):
@@ -94,10 +110,9 @@ def bundles(texts: list[str | None]) -> np.ndarray:
         rows = np.repeat(np.arange(len(texts)), [len(c) for c, _ in found])
         counts = np.concatenate([n for _, n in found]).astype(np.float32)
         for lo in range(0, len(codes), VECTORS):
-            c = codes[lo : lo + VECTORS]
-            grams = letters[0][c // _ALPHABET**2] * letters[1][c // _ALPHABET % _ALPHABET] * letters[2][c % _ALPHABET]
+            grams = gram_vectors(codes[lo : lo + VECTORS])
             here = (at >= lo) & (at < lo + VECTORS)
-            m = np.zeros((len(texts), len(c)), dtype=np.float32)
+            m = np.zeros((len(texts), len(grams)), dtype=np.float32)
             m[rows[here], at[here] - lo] = counts[here]
             out += m @ grams.astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -122,15 +137,20 @@ def _sums(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMS), pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(v)], names=["lang", "dim", "v"])
 
 
-def train(docs: DataFrame, fold: int = 2, folds: int = 4, most_per_language: int = MOST_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Language names in order and their unit prototypes, from the rows outside the held-out fold."""
+def training_rows(docs: DataFrame, fold: int = 2, folds: int = 4, most_per_language: int = MOST_PER_LANGUAGE) -> DataFrame:
+    """(lang, text) of the labelled rows outside the held-out fold, about most_per_language of each."""
     rows = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.coalesce(crc_part("doc_id", folds), F.lit(-1)) != fold))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
     for lang, n in sizes.items():
         if n > most_per_language:
             share = F.when(F.col("lang") == lang, F.lit(most_per_language / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+
+
+def train(docs: DataFrame, fold: int = 2, folds: int = 4, most_per_language: int = MOST_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """Language names in order and their unit prototypes, from the rows outside the held-out fold."""
+    picked = training_rows(docs, fold, folds, most_per_language)
     sums = picked.mapInArrow(_sums, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
     names = sorted({r["lang"] for r in sums})
     table = np.zeros((len(names), DIMS))
@@ -177,13 +197,38 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def in_known_language(docs: DataFrame, least_score: float = 0.05) -> DataFrame:
-    """Rows of documents without those rejected: no letter at all, or a cosine under least_score with every language.
+def least_scores(docs: DataFrame, names: list[str], prototypes: np.ndarray, share: float = SHARE, quantile: float = QUANTILE) -> list[float]:
+    """For texts of 2 ** k letters and more (k is the place in the list): what a document's score must reach.
+
+    It is a share of the low quantile of the scores that training documents of
+    about that length have with their own language, the least of all languages;
+    cosines with a prototype grow with the length of a text, so longer texts
+    must reach more. Lengths of under 20 training documents take the shorter one's, the shortest `NOISE`.
+    """
+    scored = predict(training_rows(docs), names, prototypes).where(F.col("lang") == F.col("lang_pred"))
+    band = _band(F.col("text"))
+    rows = scored.groupBy("lang", band.alias("band")).agg(F.percentile_approx("score", quantile, 1000).alias("low"), F.count("*").alias("n")).where("n >= 20").collect()
+    lows: dict[int, float] = {}
+    for r in rows:
+        lows[r["band"]] = min(r["low"], lows.get(r["band"], 1.0))
+    out = [NOISE]
+    for k in range(40):
+        out.append(max(out[-1], share * lows.get(k, 0.0)))
+    return out[1:]
+
+
+def _band(text):
+    return F.least(F.lit(39), F.floor(F.log2(F.greatest(F.length(text), F.lit(1))))).cast("int")
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """Rows of documents without those rejected: no letter at all, or hardly like any language for their length.
 
     A missing lang becomes the language found; other columns stay as they are.
     """
     names, prototypes = train(docs)
-    found = predict(docs, names, prototypes).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    least = F.element_at(F.array(*[F.lit(x) for x in least_scores(docs, names, prototypes)]), _band(F.col("text")) + 1) if names else F.lit(0.0)
+    found = predict(docs, names, prototypes).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
