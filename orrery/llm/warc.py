@@ -1,6 +1,7 @@
 """Operator 3: WARC archives with a Zstandard dictionary in a leading skippable frame.
 
-A dictionary is trained on a bounded sample of payloads. Every archive starts
+A dictionary is trained on about `SAMPLE_PAGES` records that a hash picks, of each
+the first `SAMPLE_BYTES / SAMPLE_PAGES` bytes of its payload. Every archive starts
 with a skippable frame that holds it; every record follows as a Zstandard
 frame of its own, so one record can be read at its offset. Executors write
 archives of about `ARCHIVE` bytes into a shared folder, each first under a
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, scratch_path
+from .common import only, scratch_path, staged
 
 # The magic number of the skippable frame; the least size of payloads that are compared.
 SKIPPABLE = 0x184D2A5D
@@ -146,11 +147,15 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE)
     spark = pages.sparkSession
     rows = only(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    sample = [bytes(r["payload"]) for r in rows.where(F.length("payload") > 0).select(F.substring("payload", 1, SAMPLE_BYTES // SAMPLE_PAGES).alias("payload")).limit(SAMPLE_PAGES).collect()]
+    picked = rows.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(1_000_003)) < min(1.0, 2 * SAMPLE_PAGES / max(rows.count(), 1)) * 1_000_003)
+    head = SAMPLE_BYTES // SAMPLE_PAGES  # of long payloads only the beginning teaches the dictionary
+    sample = [record_bytes(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in picked.select("page_id", "url", F.substring("payload", 1, head).alias("payload"), "digest").limit(SAMPLE_PAGES).collect()]
     dictionary = train_dictionary(sample)
-    equal = rows.where((F.length("payload") >= LEAST_EQUAL) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     long_enough = (F.length("payload") >= LEAST_EQUAL) & F.col("page_id").isNotNull()
-    known = rows.withColumn("key", F.when(long_enough, F.col("digest"))).join(equal.select(F.col("digest").alias("key"), "first"), "key", "left")
+    equal = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Rows that need no partner get keys of their own, so that they don't meet in one task.
+    alone = F.concat(F.lit("~"), F.xxhash64("page_id", "url", "digest").cast("string"))
+    known = rows.withColumn("key", F.when(long_enough, F.col("digest")).otherwise(alone)).join(equal.select(F.col("digest").alias("key"), "first"), "key", "left")
     marked = known.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
     marked = marked.sortWithinPartitions("page_id", "url", "digest")  # so that every attempt writes the same files
 
@@ -182,8 +187,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE)
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["archive", "records", "bytes"])
 
-    written = marked.mapInArrow(run, "archive string, records long, bytes long").toArrow()  # one small row for each archive
-    return spark.createDataFrame(written) if written.num_rows else spark.createDataFrame([], "archive string, records long, bytes long")
+    return staged(marked.mapInArrow(run, "archive string, records long, bytes long"), "archives")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
