@@ -8,7 +8,7 @@ aren't reported because toxic texts mention the group more often.
 
 Training takes labelled rows outside the held-out fold, at most about
 `most_rows` of them (the documented bound of the sample; a hash of doc_id
-picks the share). Words are runs of letters and digits, lower-cased; the first
+picks the share; of an id's several texts one counts). Words are runs of letters and digits, lower-cased; the first
 three to five letters of a word count as words too. A word
 enters the model if `least_texts` training texts have it, the `most_words`
 with the largest chi-square first; identity terms always do.
@@ -35,7 +35,9 @@ MOST_ROWS, MOST_WORDS, LEAST_TEXTS = 12_000, 2_000, 3
 RIDGE, FAIRNESS, STEPS = 0.5, 200.0, 300
 #: Least chi-square of a word (one degree of freedom); weight of toxic texts in the loss (power of the odds).
 SURE, BALANCE = 15.0, 0.7
-# Identity terms by kind; a swap stays within its kind.
+#: Counterfactuals of each identity term of a text.
+SWAPS = 2
+# Identity terms by kind; a swap stays within its kind and language.
 IDENTITIES = {
     "gender": ("women", "men", "woman", "man", "girls", "boys", "female", "male", "transgender", "nonbinary"),
     "faith": ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "christians", "muslims", "jews", "hindus"),
@@ -44,6 +46,16 @@ IDENTITIES = {
     "love": ("gay", "straight", "lesbian", "bisexual", "heterosexual", "homosexual", "queer"),
     "ability": ("deaf", "blind", "disabled", "autistic"),
     "age": ("young", "old", "elderly", "teenage"),
+    "gender_de": ("frauen", "männer", "frau", "mann", "mädchen", "jungen"),
+    "faith_de": ("christen", "muslime", "juden", "hindus", "christlich", "muslimisch", "jüdisch"),
+    "origin_de": ("amerikaner", "afrikaner", "asiaten", "europäer", "flüchtlinge", "ausländer"),
+    "love_de": ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    "gender_fr": ("femmes", "hommes", "femme", "homme", "filles", "garçons"),
+    "faith_fr": ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes"),
+    "origin_fr": ("américains", "africains", "asiatiques", "européens", "réfugiés", "immigrés"),
+    "gender_es": ("mujeres", "hombres", "mujer", "hombre", "chicas", "chicos"),
+    "faith_es": ("cristianos", "musulmanes", "judíos", "hindúes", "budistas"),
+    "origin_es": ("americanos", "africanos", "asiáticos", "europeos", "refugiados", "inmigrantes"),
 }
 _KIND = {w: kind for kind, ws in IDENTITIES.items() for w in ws}
 WORD = re.compile(r"[^\W_]+")
@@ -58,16 +70,13 @@ def words_of(text: str | None) -> set[str]:
 
 
 def _swaps(present: set[str]) -> list[tuple[str, str]]:
-    """(term, its replacement): each identity term of a text for the next of its kind that the text lacks."""
+    """(term, its replacement): each identity term of a text for the next ones of its kind that the text lacks, SWAPS at most."""
     out = []
     for w in sorted(present & _KIND.keys()):
         ring = IDENTITIES[_KIND[w]]
         at = ring.index(w)
-        for step in range(1, len(ring)):
-            other = ring[(at + step) % len(ring)]
-            if other not in present:
-                out.append((w, other))
-                break
+        others = (ring[(at + step) % len(ring)] for step in range(1, len(ring)))
+        out += [(w, x) for x in others if x not in present][:SWAPS]
     return out
 
 
@@ -145,7 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, mos
     n = marked.count()
     share = 1.0 if n <= most_rows else most_rows / n
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).withColumnRenamed("doc_id", "l_id")
-    texts = staged(only(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text"), "labelled")
+    rows = only(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))
+    # One row for each id, so that a repeated id can't pass the bound: the text with the smallest hash.
+    one = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    texts = staged(one.select("doc_id", "toxic", F.col("t.text").alias("text")), "labelled")
     size = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     if not size["n"]:
         return Classifier(0.0, {})
