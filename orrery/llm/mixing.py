@@ -1,6 +1,6 @@
 """Operator 10: mixing sources to target weights, on DataFrame operations only.
 
-Every document gets a key that a hash of its id fixes. The keys cut each
+Every document gets a key that a hash of its id fixes (of its text, if it has no id). The keys cut each
 source into ranges (the first hexadecimal digits of the key); sizes are summed
 per range before anything is ordered, the sums of the ranges are added up in
 key order, and inside each range a window adds up single documents. So a
@@ -66,9 +66,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EP
 def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, range_digits: int = 3) -> DataFrame:
     """(doc_id, source, text, ...) -> doc_id, size, source, source_size, target, taken."""
     keyed = only(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("text").cast("string"))).cast("binary")).alias("key")
     )
-    keyed = keyed.withColumn("key", F.coalesce("key", F.lit("")))
     keyed = keyed.withColumn("rng", F.substring("key", 1, range_digits))
     ranges = keyed.groupBy("source", "rng").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("rng").rowsBetween(Window.unboundedPreceding, Window.currentRow)
