@@ -47,20 +47,22 @@ LONG, QUERY_BYTES = 48, 2_000_000
 #: Characters of texts taken together; tokens decoded together.
 TOGETHER = 3_000_000
 
+#: Of each open word the least (rank, place) of its pairs is contracted; a word without a pair, or of one token, is done and told once.
 ENCODE = """
 WITH RECURSIVE step(w, toks, open) AS (
   SELECT w, toks, len(toks) > 1 FROM fresh
   UNION ALL
   SELECT s.w,
-         CASE WHEN m.spot IS NULL THEN s.toks ELSE list_concat(list_append(s.toks[:m.spot - 1], m.rank), s.toks[m.spot + 2:]) END,
-         m.spot IS NOT NULL AND len(s.toks) > 2
+         CASE WHEN m.best IS NULL THEN s.toks
+              ELSE list_concat(list_append(s.toks[:(m.best & 4294967295) - 1], (m.best >> 32)::INT), s.toks[(m.best & 4294967295) + 2:]) END,
+         m.best IS NOT NULL AND len(s.toks) > 2
   FROM step s LEFT JOIN (
-    SELECT p.w, min(g.rank) AS rank, arg_min(p.spot, (g.rank::BIGINT << 32) + p.spot) AS spot
+    SELECT p.w, min((g.rank::BIGINT << 32) + p.spot) AS best
     FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(range(1, len(toks))) AS spot FROM step WHERE open) p
     JOIN merges g ON g.l = p.l AND g.r = p.r
     GROUP BY p.w) m ON m.w = s.w
   WHERE s.open)
-SELECT w, arg_min(toks, len(toks)) AS ids FROM step WHERE NOT open GROUP BY w ORDER BY w
+SELECT w, toks AS ids FROM step WHERE NOT open ORDER BY w
 """
 
 #: One thread adds up the rows in the order of the subquery, so that a text's tokens are sorted once and not text by text.
