@@ -50,15 +50,17 @@ def ranked(candidates: DataFrame, score: str = "object_score", key: str = "candi
     if top is not None:
         few = candidates.orderBy(s.desc(), F.col(key)).limit(max(0, top))
         return few.withColumn("rank", F.row_number().over(Window.orderBy(s.desc(), F.col(key))))
-    ordered = candidates.withColumn("__s", s).repartitionByRange(F.desc("__s"), F.col(key))
-    dealt = staged(ordered.withColumn("__range", F.spark_partition_id()), "ranges")
+    # Written first: a sample is drawn to find the ranges, and ranks are found on (score, id) alone.
+    rows = staged(candidates.withColumns({"__s": s, "__row": F.monotonically_increasing_id()}), "candidates")
+    dealt = staged(rows.select("__row", "__s", key).repartitionByRange(F.desc("__s"), F.col(key)).withColumn("__range", F.spark_partition_id()), "ranges")
     before, sizes = 0, []
     for r in dealt.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # one row for each range
         sizes.append((r["__range"], before))
         before += r["n"]
     offsets = candidates.sparkSession.createDataFrame(sizes, "__at int, __before long")
     inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__range").orderBy(F.desc("__s"), F.col(key))))
-    return inside.join(F.broadcast(offsets), F.col("__range") == F.col("__at")).withColumn("rank", (F.col("__before") + F.col("__r")).cast("int")).drop("__s", "__range", "__at", "__before", "__r")
+    placed = inside.join(F.broadcast(offsets), F.col("__range") == F.col("__at")).select("__row", (F.col("__before") + F.col("__r")).cast("int").alias("rank"))
+    return rows.join(placed, "__row").drop("__s", "__row")
 
 
 def _json(column: Column) -> Column:
