@@ -260,6 +260,52 @@ def test_ring_evidence_equals_the_kernel(spark):
     assert np.allclose((got["annulus_contrast"], got["ringness_score"]), kernel.ring_evidence(image, mask))
 
 
+def test_polygon_union():
+    """Areas of unions of boxes, stars, shapes that share sides, lie apart, in each other, or in a hole."""
+    from orrery.functions import polygons
+
+    box = polygons.box
+    cases = [(box(0, 0, 4, 4), box(2, 2, 6, 6)), (box(0, 0, 4, 4), box(4, 0, 8, 4)), (box(0, 0, 4, 4), box(4, 1, 8, 3)), (box(0, 0, 4, 4), box(1, 1, 2, 2)), (box(0, 0, 4, 4), box(0, 0, 4, 4)), (box(0, 0, 4, 4), box(0, 0, 2, 4)), (box(0, 0, 1, 1), box(5, 5, 6, 6)), (box(0, 0, 4, 4), box(4, 4, 8, 8))]
+    ring = {"kind": "polygon", "parts": [[[[0, 0], [10, 0], [10, 10], [0, 10]], [[3, 3], [3, 7], [7, 7], [7, 3]]]]}
+    cases += [(ring, box(4, 4, 6, 6)), (ring, box(3, 3, 7, 7)), (ring, box(5, 5, 12, 6)), (ring, box(2, 2, 8, 8))]
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        pair = []
+        for _ in range(2):
+            turn = np.sort(r.uniform(0, 2 * np.pi, r.integers(4, 12)))
+            far = r.uniform(2, 10, len(turn))
+            centre = r.uniform(-4, 4, 2) + 500_000
+            pair.append({"kind": "polygon", "parts": [[(centre + np.stack([far * np.cos(turn), far * np.sin(turn)], axis=1)).tolist()]]})
+        if not any(map(polygons.self_crossing, pair)):
+            cases.append(tuple(pair))
+    assert len(cases) > 60
+    for a, b in cases:
+        both = polygons.union(a, b)
+        want = polygons.area(a) + polygons.area(b) - polygons.intersection_area(a, b)
+        assert abs(polygons.area(both) - want) < 1e-5 * max(1, want), (a, b)
+        points = np.random.default_rng(1).uniform(*(np.array(polygons.bounds(both)).reshape(2, 2)), (200, 2))
+        assert (polygons.inside(both, points) == (polygons.inside(a, points) | polygons.inside(b, points))).mean() > 0.99
+    assert len(polygons.union(*cases[0])["parts"][0][0]) == 8 and len(polygons.union(*cases[1])["parts"][0][0]) == 4
+    assert len(polygons.union(ring, box(3, 3, 7, 7))["parts"][0]) == 1 and len(polygons.union(ring, box(4, 4, 6, 6))["parts"]) == 2
+
+
+def test_fused_geometry(spark):
+    import json
+
+    from orrery.functions import polygons
+
+    shape = lambda *b: json.dumps(polygons.box(*b))
+    static = spatial.with_bounds(frame(spark, [("1", shape(0, 0, 30, 30), ["built_up_risk", "elongated"], 0.5), ("2", shape(900, 0, 930, 30), [], 0.1)], "s string, geometry string, flags array<string>, static_score double"))
+    dynamic = spatial.with_bounds(frame(spark, [("x", shape(20, 0, 50, 30), 0.9, ["few_dates"], "n"), ("y", shape(400, 0, 410, 10), 0.2, None, "m")], "d string, geometry string, max_anomaly double, missing_data_flags array<string>, note string"))
+    got = {r["candidate_id"]: r for r in linkage.fuse(static, dynamic, "s", "d", 100.0).collect()}
+    assert set(got) == {"fused-1-x", "static-2", "dynamic-y"}
+    f = got["fused-1-x"]
+    assert polygons.area(json.loads(f["geometry"])) == 1500 and (f["minx"], f["maxx"]) == (0, 50) and f["source_static_candidate_ids"] == ["1"] and f["source_dynamic_object_ids"] == ["x"]
+    assert f["false_positive_flags"] == ["built_up_risk"] and f["missing_data_flags"] == ["few_dates"] and f["dynamic_max_anomaly"] == 0.9 and f["static_score"] == 0.5 and f["note"] == "n"
+    assert polygons.area(json.loads(got["static-2"]["geometry"])) == 900 and got["static-2"]["note"] is None and got["static-2"]["source_dynamic_object_ids"] == []
+    assert got["dynamic-y"]["missing_data_flags"] == [] and got["dynamic-y"]["static_score"] is None and got["dynamic-y"]["maxx"] == 410
+
+
 def test_merge_detections_against_all_pairs(spark):
     """Random detections of several fields, merged in order, against cell-by-cell distances."""
     r = np.random.default_rng(4)
