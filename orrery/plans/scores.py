@@ -122,13 +122,13 @@ def object_scores(spark, sf_dir):
 
 @query(f"WITH {_CANDIDATES} SELECT candidate_id, score AS object_score, row_number() OVER (ORDER BY score DESC, candidate_id)::INT AS rank FROM o")
 def priority_rank(spark, sf_dir):
-    return review.ranked(scored(spark, sf_dir)).select("candidate_id", "object_score", "rank")
+    return review.ranked(scored(spark, sf_dir).select("candidate_id", "object_score"))
 
 
 @query(f"WITH {_CANDIDATES} SELECT candidate_id, score AS object_score, row_number() OVER (ORDER BY score DESC, candidate_id)::INT AS rank FROM o ORDER BY 3 LIMIT 30")
 def top_review(spark, sf_dir):
     """The first 30 for review."""
-    return review.ranked(scored(spark, sf_dir), top=30).select("candidate_id", "object_score", "rank")
+    return review.ranked(scored(spark, sf_dir).select("candidate_id", "object_score"), top=30)
 
 
 @query(
