@@ -382,21 +382,25 @@ def write_artifacts(result: Run, config: RunConfig, manifest: Manifest, out: str
 
 
 def _quicklooks(result: Run, top: DataFrame, folder: Path, padding: int = 5) -> None:
-    """One picture for each top candidate: its window of the composite, read by bounds."""
-    from functools import reduce
-
+    """One picture for each top candidate: the windows of all of them are read in one pass over the composite."""
     keyed = result.cells.withColumn("key", F.concat_ws(":", F.col("zone").cast("string"), F.col("object").cast("string")))
     own = keyed.join(result.objects.select("key", "candidate_id"), "key").join(top.select("candidate_id"), "candidate_id")
-    for r in own.groupBy("candidate_id").agg(F.collect_list(F.struct("row", "col")).alias("cells")).collect():
-        cells = np.array([(c["row"], c["col"]) for c in r["cells"]])
-        (r0, c0), (r1, c1) = np.maximum(cells.min(axis=0) - padding, 0), cells.max(axis=0) + padding
-        near = reduce(lambda a, b: a & b, (F.col("row").between(int(r0), int(r1)), F.col("col").between(int(c0), int(c1))))
-        window = np.full((r1 - r0 + 1, c1 - c0 + 1), np.nan)
-        fields, numbers = np.zeros(window.shape, dtype=int), {}
-        for p in result.composite.where(near).collect():
-            window[p["row"] - r0, p["col"] - c0] = np.nan if p["value"] is None else p["value"]
-            fields[p["row"] - r0, p["col"] - c0] = numbers.setdefault(p["zone"], len(numbers) + 1)
-        (folder / f"{reports.safe_stems([r['candidate_id']])[0]}.png").write_bytes(reports.quicklook(window, cells - [r0, c0], padding, zones=fields))
+    cells = {r["candidate_id"]: np.array([(c["row"], c["col"]) for c in r["cells"]]) for r in own.groupBy("candidate_id").agg(F.collect_list(F.struct("row", "col")).alias("cells")).collect()}
+    if not cells:
+        return
+    bounds = {i: (np.maximum(c.min(axis=0) - padding, 0), c.max(axis=0) + padding) for i, c in cells.items()}
+    boxes = result.composite.sparkSession.createDataFrame([(i, *map(int, (*lo, *hi))) for i, (lo, hi) in bounds.items()], "candidate_id string, r0 int, c0 int, r1 int, c1 int")
+    near = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    seen = result.composite.join(F.broadcast(boxes), near).select("candidate_id", "row", "col", "value", "zone")  # the review limit bounds the boxes
+    windows = {i: (np.full(hi - lo + 1, np.nan), np.zeros(hi - lo + 1, dtype=int)) for i, (lo, hi) in bounds.items()}
+    numbers: dict = {}
+    for p in seen.collect():
+        at = p["row"] - bounds[p["candidate_id"]][0][0], p["col"] - bounds[p["candidate_id"]][0][1]
+        values, fields = windows[p["candidate_id"]]
+        values[at] = np.nan if p["value"] is None else p["value"]
+        fields[at] = numbers.setdefault(p["zone"], len(numbers) + 1)
+    for i, (values, fields) in windows.items():
+        (folder / f"{reports.safe_stems([i])[0]}.png").write_bytes(reports.quicklook(values, cells[i] - bounds[i][0], padding, zones=fields))
 
 
 def static_candidates(spark: SparkSession, path: str, config: RunConfig, out: str | Path) -> dict[str, Path]:
