@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from orrery.operators import components
 from orrery.plans import registry
 
 
@@ -58,6 +59,29 @@ def test_fusion_of_whole_tables(spark, sf_dir):
     assert sorted(got) == sorted(want)
 
 
+def repeated(sf_dir, folder, times, **keys):
+    """Copies of tables with shifted keys, as larger tables have them: many rows of equal shapes."""
+    for name, key in keys.items():
+        rows = pd.read_parquet(f"{sf_dir}/{name}.parquet")
+        step = rows[key].max() - rows[key].min() + 1
+        pd.concat([rows.assign(**{key: rows[key] + i * step}) for i in range(times)]).to_parquet(f"{folder}/{name}.parquet", index=False)
+    return str(folder)
+
+
+def counted(monkeypatch):
+    """(tag, rows) of each table that connected components write."""
+    sizes, write = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, tag: (out := write(df, tag), sizes.append((tag, out.count())))[0])
+    return sizes
+
+
+def test_fusion_of_repeated_tables(spark, sf_dir, tmp_path, monkeypatch):
+    folder = repeated(sf_dir, tmp_path, 20, part="p_partkey", customer="c_custkey")
+    sizes, pairs = counted(monkeypatch), linked(folder)[2]
+    test_fusion_of_whole_tables(spark, folder)
+    assert len(pairs) > 400 and max(n for _, n in sizes) < len(pairs) / 10
+
+
 def test_risk_filters_of_whole_contexts(spark, sf_dir):
     (k, a), (_, roads) = tables(sf_dir)
     f = pd.read_parquet(f"{sf_dir}/supplier.parquet")["s_suppkey"].to_numpy(np.int64)
