@@ -11,9 +11,8 @@ Letters are what Unicode calls alphabetic, lower-cased; runs of anything else
 are one space. Bundling is linear, so a batch of documents is a matrix of
 trigram counts times the matrix of the trigrams' vectors.
 
-Training takes labelled rows of the training fold, at most about
-`most_per_language` per language: beyond it a hash of doc_id picks the share
-(the documented bound of the sample; prototypes settle after a few hundred).
+Training takes every labelled row of the training fold: a task sums its own
+rows, so only a vector for each language and task is shuffled.
 
 Cases: null text, empty text or one without a letter is `und` with score 0; so
 is everything if no row can train; the score is the winning cosine cut to 0
@@ -24,14 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_part, only, released
+from .common import crc_part, only, released, staged
 
 DIMS = 1024
-MOST_PER_LANGUAGE = 4000
 #: Characters of a text handled at once; texts of a batch multiplied at once; trigram vectors made at once.
 SLICE, ROWS, VECTORS = 1 << 20, 256, 4096
 #: Prototypes are summed as whole numbers, so that the order of sums doesn't matter.
@@ -41,6 +39,8 @@ UNKNOWN = "und"
 SHARE, QUANTILE = 0.3, 0.01
 #: Two standard deviations of the cosine of unrelated vectors: texts of any length must reach it.
 NOISE = 2 / DIMS**0.5
+#: Quantiles of scores are counted in steps of one in STEPS, so that their counts are few whatever the number of documents.
+STEPS = 10_000
 _BITS = 21
 _ONE = (1 << _BITS) - 1
 _fixed: dict[str, np.ndarray] = {}
@@ -137,20 +137,14 @@ def _sums(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMS), pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(v)], names=["lang", "dim", "v"])
 
 
-def training_rows(docs: DataFrame, fold: int = 2, folds: int = 4, most_per_language: int = MOST_PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of the labelled rows outside the held-out fold, about most_per_language of each."""
-    rows = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.coalesce(crc_part("doc_id", folds), F.lit(-1)) != fold))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        if n > most_per_language:
-            share = F.when(F.col("lang") == lang, F.lit(most_per_language / n)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+def trains(fold: int = 2, folds: int = 4):
+    """Whether a row is labelled and outside the held-out fold."""
+    return F.col("lang").isNotNull() & (F.coalesce(crc_part("doc_id", folds), F.lit(-1)) != fold)
 
 
-def train(docs: DataFrame, fold: int = 2, folds: int = 4, most_per_language: int = MOST_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Language names in order and their unit prototypes, from the rows outside the held-out fold."""
-    picked = training_rows(docs, fold, folds, most_per_language)
+def train(docs: DataFrame, fold: int = 2, folds: int = 4) -> tuple[list[str], np.ndarray]:
+    """Language names in order and their unit prototypes, from all labelled rows outside the held-out fold."""
+    picked = only(docs, "doc_id", "text", "lang").where(trains(fold, folds)).select("lang", "text")
     sums = picked.mapInArrow(_sums, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
     names = sorted({r["lang"] for r in sums})
     table = np.zeros((len(names), DIMS))
@@ -197,20 +191,22 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def least_scores(docs: DataFrame, names: list[str], prototypes: np.ndarray, share: float = SHARE, quantile: float = QUANTILE) -> list[float]:
+def least_scores(found: DataFrame, share: float = SHARE, quantile: float = QUANTILE) -> list[float]:
     """For texts of 2 ** k letters and more (k is the place in the list): what a document's score must reach.
 
-    It is a share of the low quantile of the scores that training documents of
+    found has all documents with lang_pred and score. The threshold is a share of the low quantile of the scores that training documents of
     about that length have with their own language, the least of all languages;
     cosines with a prototype grow with the length of a text, so longer texts
     must reach more. Lengths of under 20 training documents take the shorter one's, the shortest `NOISE`.
     """
-    scored = predict(training_rows(docs), names, prototypes).where(F.col("lang") == F.col("lang_pred"))
-    band = _band(F.col("text"))
-    rows = scored.groupBy("lang", band.alias("band")).agg(F.percentile_approx("score", quantile, 1000).alias("low"), F.count("*").alias("n")).where("n >= 20").collect()
+    scored = found.where(trains() & (F.col("lang") == F.col("lang_pred")))
+    steps = scored.groupBy("lang", _band(F.col("text")).alias("band"), F.floor(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy("lang", "band")
+    ranked = steps.withColumns({"upto": F.sum("n").over(group.orderBy("step")), "all": F.sum("n").over(group)})
+    rows = ranked.where((F.col("all") >= 20) & (F.col("upto") >= F.col("all") * quantile)).groupBy("lang", "band").agg(F.min("step").alias("step")).collect()
     lows: dict[int, float] = {}
     for r in rows:
-        lows[r["band"]] = min(r["low"], lows.get(r["band"], 1.0))
+        lows[r["band"]] = min(r["step"] / STEPS, lows.get(r["band"], 1.0))
     out = [NOISE]
     for k in range(40):
         out.append(max(out[-1], share * lows.get(k, 0.0)))
@@ -225,10 +221,12 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     """Rows of documents without those rejected: no letter at all, or hardly like any language for their length.
 
     A missing lang becomes the language found; other columns stay as they are.
+    Prototypes and thresholds are those of all training documents; scores are written once, for the thresholds and for the choice.
     """
     names, prototypes = train(docs)
-    least = F.element_at(F.array(*[F.lit(x) for x in least_scores(docs, names, prototypes)]), _band(F.col("text")) + 1) if names else F.lit(0.0)
-    found = predict(docs, names, prototypes).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = staged(predict(docs, names, prototypes), "languages")
+    least = F.element_at(F.array(*[F.lit(x) for x in least_scores(found)]), _band(F.col("text")) + 1)
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 

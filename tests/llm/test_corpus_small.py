@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -98,6 +99,29 @@ def test_known_languages_stay_and_junk_goes(spark, sf_dir):
     assert not kept & {r[0] for r in junk + other} and len(lettered - kept) <= 0.01 * len(lettered)
 
 
+def test_language_learns_from_every_training_row(spark):
+    """Prototypes and thresholds of thousands of short documents, against all of them in numpy."""
+    made = [(i, prose(i, 4 + i % 9, "en"), "en", "s", 1) for i in range(6500)] + [(10_000 + i, prose(i, 6, "de"), "de", "s", 1) for i in range(300)]
+    held = [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in made]
+    table = spark.createDataFrame(made, DOCS).repartition(8)
+    names, prototypes = hyperlang.train(table)
+    vectors = hyperlang.bundles([r[1] for r in made])
+    own = np.array([[r[2] == n and not h for r, h in zip(made, held, strict=True)] for n in names])
+    assert names == ["de", "en"] and own[1].sum() > 4500
+    sums = np.stack([np.rint(vectors[o] * hyperlang.SCALE).sum(axis=0, dtype=np.float64) for o in own])
+    assert np.allclose(prototypes, sums / np.linalg.norm(sums, axis=1, keepdims=True), atol=2e-6)
+    got = hyperlang.least_scores(hyperlang.predict(table, names, prototypes))
+    cosines = vectors @ prototypes.T
+    bands, best = np.array([len(r[1]).bit_length() - 1 for r in made]), cosines.argmax(axis=1)
+    least = hyperlang.NOISE
+    for k in range(12):
+        groups = [np.sort(cosines[o & (bands == k) & (best == x), x]) for x, o in enumerate(own)]
+        lows = [g[int(np.ceil(len(g) * hyperlang.QUANTILE)) - 1] for g in groups if len(g) >= 20]
+        least = max(least, hyperlang.SHARE * min(lows, default=0))
+        assert abs(got[k] - least) <= hyperlang.SHARE / hyperlang.STEPS + 1e-6
+    assert least > hyperlang.NOISE
+
+
 def test_language_slices(monkeypatch):
     text = prose(9, 400)
     whole = hyperlang.trigram_counts(text)
